@@ -7,7 +7,7 @@ more than one shard or one chunk of documents:
 
 1. Documents are hashed into chunks of about ``chunk_bytes`` of text.
 2. Each chunk sends, per shard of the key space, its cells (hash digits of its
-   windows) as one sorted, byte-coded blob: the sparse form of a partition's
+   windows) as one sorted, bit-coded blob: the sparse form of a partition's
    sketch or histogram. The sender keeps two of equal cells, as only "once" and
    "more" matter.
 3. Each shard adds up its blobs and returns to each chunk the cells counted
@@ -52,23 +52,33 @@ SPANS = "doc_id bigint, start_word int, end_word int, n_windows int, is_first bo
 
 
 def encode(cells: np.ndarray) -> bytes:
-    """Sorted cells as bytes: the steps between them, 255 meaning "254 and on"; or 4 bytes each, where that is less."""
-    step = np.diff(cells, prepend=cells.dtype.type(0))
-    more = step // 254
-    ends = np.cumsum(more + 1)
-    if not len(ends) or ends[-1] > 4 * len(cells):
-        return b"\x01" + cells.astype(np.uint32).tobytes()
-    out = np.full(int(ends[-1]), 255, np.uint8)
-    out[(ends - 1).astype(np.int64)] = step % 254
-    return b"\x00" + out.tobytes()
+    """Sorted cells as bytes: their low bits in planes, the steps of the rest in unary, which is within half a bit of the least."""
+    if not len(cells):
+        return b""
+    cells = cells.astype(np.uint32)
+    low = max(0, int(np.log2((int(cells[-1]) + 1) / len(cells))))
+    high = (cells >> np.uint32(low)).astype(np.int64) + np.arange(len(cells))
+    unary = np.zeros(int(high[-1]) + 1, np.uint8)
+    unary[high] = 1
+    planes = [(cells >> np.uint32(k)).astype(np.uint8).tobytes() for k in range(0, low - 7, 8)]
+    planes += [np.packbits((cells >> np.uint32(k)).astype(np.uint8) & 1).tobytes() for k in range(low // 8 * 8, low)]
+    return bytes([low]) + len(cells).to_bytes(4, "little") + b"".join(planes) + np.packbits(unary).tobytes()
 
 
 def decode(blob: bytes) -> np.ndarray:
-    if blob[0]:
-        return np.frombuffer(blob, np.uint32, offset=1).astype(np.int64)
-    raw = np.frombuffer(blob, np.uint8, offset=1)
-    real = raw != 255
-    return np.cumsum(np.where(real, raw, 254).astype(np.int64))[real]
+    if not blob:
+        return np.zeros(0, np.int64)
+    low, n = blob[0], int.from_bytes(blob[1:5], "little")
+    raw, at = np.frombuffer(blob, np.uint8, offset=5), 0
+    rest = np.zeros(n, np.uint32)
+    for k in range(0, low - 7, 8):
+        rest |= raw[at : at + n].astype(np.uint32) << np.uint32(k)
+        at += n
+    for k in range(low // 8 * 8, low):
+        rest |= np.unpackbits(raw[at : at + (n + 7) // 8], count=n).astype(np.uint32) << np.uint32(k)
+        at += (n + 7) // 8
+    high = np.flatnonzero(np.unpackbits(raw[at:])) - np.arange(n)
+    return (high << low) + rest
 
 
 def _at_most_two(cells: np.ndarray) -> np.ndarray:
