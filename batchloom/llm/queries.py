@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from batchloom.llm import quality, repeats
+from batchloom.llm import gif, leaks, neardups, packing, quality, repeats, tokens, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.tiktoken", at: str | None = None) -> str:
+    """The place of a vocabulary file: in folder ``at``, or else where the installed tokenizers are."""
+    if at is None:
+        found = importlib.util.find_spec("public_tokenizers")
+        at = str(Path(found.origin).parent) if found else "/opt/tokenizers"
+    return f"{at}/{name}"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(_table(spark, sf_dir, "documents"), vocabulary=vocabulary())
+
+
+def op2_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # no table holds media: each vector is drawn as an animated file, and that is decoded
+    return gif.decode_frames(gif.rendered(_table(spark, sf_dir, "embeddings")), id_column="vec_id")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(_table(spark, sf_dir, "documents"), method="sketch")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(_table(spark, sf_dir, "documents"), method="radix")
 
@@ -26,10 +57,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardups.near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 #: Maximal runs of word windows that occur twice or more, first occurrences apart from later ones.
 REPEATS_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), win AS (
   SELECT doc_id, unnest(range(len(ws) - 49)) AS p, ws FROM w WHERE len(ws) >= 50
@@ -45,9 +84,23 @@ FROM runs GROUP BY doc_id, is_first, g
 """
 
 
+QUERIES = (
+    op1_token_counts,
+    op2_gif_frames,
+    op3_decontamination,
+    op4_url_filter,
+    op5_substring_dedup,
+    op6_toxicity,
+    op7_suffix_array_dedup,
+    op8_quality_classifier,
+    op9_near_dedup,
+    op10_packing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_substring_dedup, op7_suffix_array_dedup, op8_quality_classifier)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": REPEATS_SQL, "op7_suffix_array_dedup": REPEATS_SQL}
+    return {"op4_url_filter": urls.judge_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_suffix_array_dedup": REPEATS_SQL}
