@@ -23,8 +23,9 @@ Groups are found in this order:
    Every round skips pairs that earlier ones have joined, so the groups are the
    connected components of all verified candidate pairs, while large groups
    cost a few edges a document.
-3. Verification computes the exact weighted Jaccard index of the two multisets;
-   only documents with candidates are read for it.
+3. Verification computes the exact weighted Jaccard index of the two multisets.
+   Those of documents with candidates are written once, 4 bytes a pair of words,
+   for all rounds.
 4. Components come from alternating large-star and small-star steps; each writes
    its edges to the shared folder.
 
@@ -172,7 +173,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(bag_id, bag): the multiset of each row of the documents in ``ids``, 4 bytes for each occurrence."""
     mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    wanted = mine.join(ids, "doc_id", "left_semi")
+    wanted = mine.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")  # the ids grow with the corpus: never broadcast
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,12 +187,10 @@ def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(bag, "bag_id bigint, bag binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def verified(bags: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the pairs whose multisets overlap enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = cut(_bags(docs, ids))
-    held = pairs.join(bags.select(F.col("bag_id").alias("a"), F.col("bag").alias("bag_a")), "a")
-    held = held.join(bags.select(F.col("bag_id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    held = pairs.join(bags.select(F.col("bag_id").alias("a"), F.col("bag").alias("bag_a")).hint("merge"), "a")
+    held = held.join(bags.select(F.col("bag_id").alias("b"), F.col("bag").alias("bag_b")).hint("merge"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,16 +234,18 @@ def near_groups(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = B
     by_key = Window.partitionBy("key")
     shared = signed(docs, bands, rows_per_band).withColumn("least", F.min("doc_id").over(by_key)).withColumn("most", F.max("doc_id").over(by_key))
     keys = cut(shared.where("least <> most").select("key", "doc_id", "least").distinct())
+    # whoever has candidates; texts are moved this once
+    bags = cut(_bags(docs, keys.select("doc_id").distinct()))
     stars = cut(keys.where("doc_id <> least").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    edges = cut(verified(docs, best, threshold))
+    edges = cut(verified(bags, best, threshold))
     groups = cut(components(edges))
     # edges from each key's least document to those that aren't yet in its group
     a, b = (groups.select(F.col("doc_id").alias(x), F.col("group_id").alias(f"group_{x}")) for x in "ab")
     own = lambda x: F.coalesce(f"group_{x}", x)
     left = cut(stars.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(own("a") != own("b")).select("a", "b"))
     if not left.isEmpty():
-        edges = cut(edges.unionAll(verified(docs, left, threshold)))
+        edges = cut(edges.unionAll(verified(bags, left, threshold)))
         groups = cut(components(edges))
     # whatever pairs with equal keys remain; those of the rounds before have failed already
     open_keys = cut(_crossing(keys.select("key", "doc_id"), groups))
@@ -253,7 +254,7 @@ def near_groups(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = B
     rest = x.join(y, "key").where("group_a <> group_b AND a < b").select("a", "b").distinct()
     rest = cut(rest.join(best, ["a", "b"], "left_anti").join(left, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        groups = cut(components(edges.unionAll(verified(docs, rest, threshold))))
+        groups = cut(components(edges.unionAll(verified(bags, rest, threshold))))
     return groups.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("is_kept"))
 
 
