@@ -102,7 +102,7 @@ def segments(items: list[tuple[int, str]], *, q: int, segment: int, rate: float)
     edits = np.minimum((size * rate).astype(np.int64), size // q - 1)
     bound = size + 1 - q * (edits + 1)
     hashes = [gram_hashes(text[i, : size[i]], q) for i in range(len(found))]
-    owner = np.repeat(np.arange(len(found)), [len(h) for h in hashes])
+    owner = np.repeat(np.arange(len(found)), np.array([len(h) for h in hashes], np.int64))
     place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
     every = np.concatenate([*hashes, np.zeros(0, U64)])
     order = np.argsort(every, kind="stable")

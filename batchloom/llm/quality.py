@@ -135,11 +135,11 @@ def margins(model: QualityModel, batch: pa.RecordBatch, text: str = "text") -> n
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000) -> DataFrame:
     """(text, label) of at most ``per_class`` labelled documents of each class."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")
     parts = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     # 2 * per_class ids at most, so a broadcast is safe at any size of the corpus
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "label")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> QualityModel | None:
