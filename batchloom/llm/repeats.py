@@ -346,12 +346,14 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, *, keep_words: int = 1) -> Da
     names = docs.columns
     cut = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word", "is_first"))).alias("cut_spans"), F.bool_or(~F.col("is_first")).alias("later")).where("later").drop("later").withColumnRenamed("doc_id", "cut_doc_id")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("cut_key"))
-    joined = held.join(cut, F.col("cut_key") == F.col("cut_doc_id"), "left").select("row.*", F.expr("transform(cut_spans, s -> s.start_word)").alias("cut_from"), F.expr("transform(cut_spans, s -> s.end_word)").alias("cut_to"), F.expr("transform(cut_spans, s -> s.is_first)").alias("cut_first"))
+    unlike = "x" * (1 + max(map(len, names)))  # longer than any name, so that none clashes
+    parts = [F.expr(f"transform(cut_spans, s -> s.{k})").alias(f"{k}_{unlike}") for k in ("start_word", "end_word", "is_first")]
+    joined = held.join(cut.hint("shuffle_hash"), F.col("cut_key") == F.col("cut_doc_id"), "left").select("row.*", *parts)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in ("text", "n_chars", "cut_from", "cut_to", "cut_first")}
-            begin, end, first = (batch.column(at[n]) for n in ("cut_from", "cut_to", "cut_first"))
+            at = {n: batch.schema.get_field_index(n) for n in ("text", "n_chars")}
+            begin, end, first = batch.columns[len(names) :]
             rows = np.flatnonzero(begin.is_valid().to_numpy(zero_copy_only=False))
             columns = list(batch.columns[: len(names)])
             if len(rows):
