@@ -47,8 +47,8 @@ LEXICONS: dict[str, tuple[str, ...]] = {
     "french": ("idiot", "crétin", "imbécile", "ordure", "débile", "connard", "minable"),
     "spanish": ("idiota", "imbécil", "escoria", "estúpido", "basura", "inútil", "payaso"),
 }
-#: Voters by their numbers: the lexicons, the induced one (any hit, several hits), then density (one hit in fifty words or fewer), address ("you" beside a hit), and the one that says clean where nothing was hit.
-VOTERS = (*LEXICONS, "induced", "induced_several", "dense", "addressed", "no_hits")
+#: Voters by their numbers: the lexicons, the induced one (any hit, several hits), then density (one hit in fifty words or fewer), address ("you" beside a hit), and the one that says clean where nothing was hit, or just one induced word, which is the weakest sign.
+VOTERS = (*LEXICONS, "induced", "induced_several", "dense", "addressed", "few_hits")
 FEATURES = 1 << 18
 
 
@@ -74,13 +74,14 @@ class LabelModel:
         return out
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.1, most_pairs: int | None = None, excess: float = 0.02, rounds: int = 60) -> LabelModel:
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.1, excess: float = 0.1, rounds: int = 60) -> LabelModel:
     """The model of the given vote patterns and their counts.
 
-    A first fit takes voters as independent. Pairs whose agreement, label known,
-    exceeds independence by ``excess`` in mutual information (bits) are then
-    joined, the strongest first and each voter once at most, and the fit is
-    repeated. A voter starts as better than chance, which decides what label is which.
+    Pairs whose agreement, label known, exceeds independence by ``excess`` in
+    mutual information (bits) are joined, the strongest first and each voter once
+    at most: once under the labels of a majority vote and once more
+    under those of the first fit. A voter starts as better than chance, which
+    decides what label is which.
     """
     n_voters = votes.shape[1]
     # posterior of each pattern, from a majority of the votes
@@ -110,18 +111,21 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.1
             q = new
         return model, q
 
-    model, q = run(q, ())
-    found = []
-    for a in range(n_voters):
-        for b in range(a + 1, n_voters):
-            found.append((_information(votes[:, a], votes[:, b], counts, q), a, b))
     used: set[int] = set()
     pairs: list[tuple[int, int]] = []
-    for strength, a, b in sorted(found, reverse=True):
-        if strength > excess and not {a, b} & used and (most_pairs is None or len(pairs) < most_pairs):
-            pairs.append((a, b))
-            used |= {a, b}
-    return run(q, tuple(pairs))[0] if pairs else model
+
+    def join(q: np.ndarray) -> None:
+        rest = [v for v in range(n_voters) if v not in used]
+        found = [(_information(votes[:, a], votes[:, b], counts, q), a, b) for i, a in enumerate(rest) for b in rest[i + 1 :]]
+        for strength, a, b in sorted(found, reverse=True):
+            if strength > excess and not {a, b} & used:
+                pairs.append((a, b))
+                used.update((a, b))
+
+    join(q)  # before any fit: two copies of one voter would pull it over to their side
+    _, q = run(q, tuple(pairs))
+    join(q)
+    return run(q, tuple(pairs))[0]
 
 
 def _information(a: np.ndarray, b: np.ndarray, counts: np.ndarray, q: np.ndarray) -> float:
@@ -182,12 +186,14 @@ def cast_votes(part: pa.RecordBatch, induced: np.ndarray) -> np.ndarray:
     for v in range(k):
         votes[np.unique(row[(low >> v & 1) > 0]), v] = 2
     hit = low > 0
+    weight = np.bincount(row[hit], minlength=n) * 2
     if len(induced):
         slot = np.minimum(np.searchsorted(induced, hashes), len(induced) - 1)
         own = induced[slot] == hashes
         votes[:, k] = np.where(np.bincount(row[own], minlength=n) > 0, 2, 0)
         votes[:, k + 1] = np.where(np.bincount(row[own], minlength=n) > 1, 2, 0)
         hit |= own
+        weight = np.maximum(weight, np.bincount(row[own], minlength=n))
     hits = np.bincount(row[hit], minlength=n)
     votes[:, k + 2] = np.where((hits > 0) & (hits * 50 >= counts), 2, 0)
     you = np.flatnonzero(bit >> k & 1)
@@ -195,7 +201,7 @@ def cast_votes(part: pa.RecordBatch, induced: np.ndarray) -> np.ndarray:
         near = you[(you + step >= 0) & (you + step < len(row))]
         near = near[(row[near + step] == row[near]) & hit[near + step]]
         votes[row[near], k + 3] = 2
-    votes[:, k + 4] = np.where((hits == 0) & (counts > 0), 1, np.where(hits > 1, 2, 0))
+    votes[:, k + 4] = np.where((weight < 2) & (counts > 0), 1, np.where(weight > 2, 2, 0))
     return votes
 
 
