@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import pytest
+from batchloom.operators import extract
+from pyspark.sql import functions as F
+
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+def pairs(df):
+    return [(r.prompt, r.response) for r in df.collect()]
+
+
+def test_detect_columns():
+    assert extract.detect_columns(["x", "Question", "OUTPUT", "prompt"]) == ("prompt", "OUTPUT")
+    assert extract.detect_columns(["prompt", "x"]) is None
+
+
+def test_messages(spark):
+    raw = spark.createDataFrame([([("system", "s"), (" Assistant ", " a "), ("USER", "u")],), ([("user", "only")],), (None,), ([("user", " "), ("human", "h"), ("gpt", None), ("bot", "b"), ("bot", "c")],)], f"messages {MESSAGES}")
+    assert pairs(extract.extract_pairs(raw)) == [("u", "a"), ("h", "b")]
+    assert pairs(extract.extract_pairs(raw, skipped=True)) == [("u", "a"), (None, None), (None, None), ("h", "b")]
+    other = spark.createDataFrame([([("human", "q"), ("gpt", "r")], 7)], "conversations array<struct<from:string,value:string>>, prompt int")
+    assert pairs(extract.extract_pairs(other)) == [("q", "r")]
+
+
+def test_rules_in_order(spark):
+    raw = spark.createDataFrame([("x", "y", "z", "p"), ("x", None, "z", None), (" ", "y", "z", "p"), ("x", "y", " ", "p")], "instruction string, input string, output string, prompt string")
+    assert pairs(extract.extract_pairs(raw)) == [("x\ny", "z"), ("x", "z"), ("\ny", "z")]
+    assert pairs(extract.extract_pairs(raw, "prompt", "output")) == [("p", "z"), ("x", "z"), ("p", "z")]
+    assert pairs(extract.adapt("instruction", raw)) == [("x\ny", "z"), ("x", "z")]
+    with pytest.raises(ValueError):
+        extract.extract_pairs(spark.range(1))
+
+
+def test_turns(spark):
+    turns = spark.createDataFrame([(1, 2, "user", "late"), (1, 0, "assistant", "a"), (1, 1, " User", " u "), (2, 0, "user", "alone"), (3, 0, "user", "x"), (3, 1, None, None), (4, 0, "user", " "), (4, 1, "gpt", "g"), (4, 2, "instruction", "i")], "conv_id bigint, turn bigint, role string, text string")
+    assert {r.conv_id: (r.prompt, r.response) for r in extract.turns_to_pairs(turns).collect()} == {1: ("u", "a"), 4: ("i", "g")}
+    nested = {r.conv_id: [m.content for m in r.messages] for r in extract.nest_turns(turns).collect()}
+    assert nested[1] == ["a", " u ", "late"]
+
+
+def test_dialogue_text(spark):
+    text = "\n\nHuman: a\n\nAssistant: b\n\nHuman: c\n\nAssistant: d"
+    raw = spark.createDataFrame([(1, text, text + "!"), (2, "no mark", text), (3, text, None), (4, "\n\nAssistant: d", text), (5, text + "\n\nAssistant:  ", text)], "id int, chosen string, rejected string")
+    got = extract.adapt("dialogue_text", raw).collect()
+    assert [(r.id, r.prompt, r.chosen, r.rejected) for r in got] == [(1, "Human: a\n\nAssistant: b\n\nHuman: c", "d", "d!")]
+
+
+def test_other_adapters(spark):
+    votes = spark.createDataFrame([("h", "p", "q", 0), ("h", "p", "q", 1), ("h", "p", "q", None), (None, "p", "q", 1), ("h", "", "q", 1)], "history string, human_ref_A string, human_ref_B string, labels int")
+    assert [(r.chosen, r.rejected) for r in extract.adapt("votes", votes).collect()] == [("q", "p"), ("p", "q"), ("q", "p")]
+    orca = spark.createDataFrame([(" s", "q ", "c", "r"), (None, None, "c", "r"), ("s", None, "c", "r")], "system string, question string, chosen string, rejected string")
+    assert [r.prompt for r in extract.adapt("system_question", orca).collect()] == ["s\nq", "s"]
+    steps = spark.createDataFrame([([("user", " a "), ("tool", "x"), ("assistant", "b")], "c", "r"), ([("tool", "x")], "c", "r"), ([], "c", "r")], "trajectory array<struct<from:string,value:string>>, chosen string, rejected string")
+    assert [r.prompt for r in extract.adapt("trajectory", steps).collect()] == ["User: a\nAssistant: b"]
+    both = spark.createDataFrame([("p", [("user", "u"), ("assistant", "a")], "r"), ("p", [], "r")], f"prompt string, chosen {MESSAGES}, rejected string")
+    assert [(r.chosen, r.rejected) for r in extract.adapt("binarised", both).collect()] == [("a", "r")]
+    aya = spark.createDataFrame([(" i ", "t"), ("", "t")], "inputs string, targets string")
+    assert pairs(extract.adapt("inputs_targets", aya)) == [("i", "t")]
+    with pytest.raises(ValueError):
+        extract.adapt("none such", aya)
+
+
+def test_registry_takes_more(spark):
+    mine = extract.ADAPTERS | {"mine": lambda raw: raw.withColumn("prompt", F.lit("x"))}
+    assert extract.adapt("mine", spark.range(1), mine).first().prompt == "x"
+
+
+def test_skip_counts(spark):
+    raw = spark.createDataFrame([("a", "b"), ("a", None), (" ", "b"), (None, None)], "p string, r string")
+    assert tuple(extract.skip_counts(raw, "p", "r").first()) == (1, 3)
