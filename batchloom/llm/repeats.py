@@ -23,8 +23,11 @@ groups. The first pass is spread over the cluster, by the first ``digit_words``
 words (steps 2 and 3: a bucket of one is sorted and needs no later pass); the
 passes over the rest of the key run within the shards.
 
-All of this is linear in the corpus. Shards are sized by its number of words,
-which one narrow aggregate finds.
+All of this is linear in the corpus. The number of shards follows from its number of words,
+which one narrow aggregate finds. Every chunk writes to every shard, so beyond
+``EVEN_WORDS`` words both chunks and shards grow with the square root of the
+corpus, by ``most_growth`` at most, lest blobs become all header: at 2.5e13 words (100 TB or so) they are 64
+times as large, a blob holds hundreds of cells, and a task needs some 8 GB.
 
 Defined cases: null and blank texts, and texts of fewer than ``width`` words,
 have no windows. Rows without a doc_id are left out. Words compare by bytes.
@@ -46,6 +49,7 @@ from batchloom.llm.textarrays import U64, WINDOW_BASES, flat, mix, sliced, windo
 
 CHUNK_BYTES = 8 << 20
 SHARD_CELLS = 4 << 20
+EVEN_WORDS = 6_000_000_000
 BLOB = "shard int, chunk int, cells binary"
 FOUND = "shard int, chunk int, keys binary, ids binary, counts binary, places binary"
 SPANS = "doc_id bigint, start_word int, end_word int, n_windows int, is_first boolean"
@@ -91,10 +95,12 @@ def _at_most_two(cells: np.ndarray) -> np.ndarray:
 class Layout:
     """Sizes that follow from the number of windows; see the module."""
 
-    def __init__(self, n_bytes: int, n_words: int, rows: int, load: int, chunk_bytes: int, shard_cells: int):
+    def __init__(self, n_bytes: int, n_words: int, rows: int, load: int, chunk_bytes: int, shard_cells: int, most_growth: float):
         self.rows = rows
-        self.chunks = max(1, math.ceil(n_bytes / chunk_bytes))
-        self.shards = max(1, math.ceil(n_words / shard_cells))
+        growth = min(max(1.0, math.sqrt(n_words / EVEN_WORDS)), most_growth)
+        self.chunk_bytes = int(chunk_bytes * growth)
+        self.chunks = max(1, math.ceil(n_bytes / self.chunk_bytes))
+        self.shards = max(1, math.ceil(n_words / (shard_cells * growth)))
         self.span = load * math.ceil(max(n_words, 1) / self.shards)
 
     def cells(self, key: np.ndarray, row: int) -> np.ndarray:
@@ -262,7 +268,7 @@ def _runs(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"doc_id": ids[begin], "start_word": places[begin].astype(np.int32), "end_word": (places[last] + width).astype(np.int32), "n_windows": (places[last] - places[begin] + 1).astype(np.int32), "is_first": first[begin].astype(bool)})
 
 
-def repeated_spans(docs: DataFrame, *, width: int = 50, method: str = "sketch", digit_words: int = 10, depth: int = 2, load: int = 4, chunk_bytes: int = CHUNK_BYTES, shard_cells: int = SHARD_CELLS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, width: int = 50, method: str = "sketch", digit_words: int = 10, depth: int = 2, load: int = 4, chunk_bytes: int = CHUNK_BYTES, shard_cells: int = SHARD_CELLS, most_growth: float = 64) -> DataFrame:
     """(doc_id, start_word, end_word, n_windows, is_first): maximal runs of repeated windows.
 
     Words are numbered from 0 and end_word is exclusive. ``is_first`` tells the
@@ -281,7 +287,8 @@ def repeated_spans(docs: DataFrame, *, width: int = 50, method: str = "sketch",
     mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     size = F.octet_length("text").cast("bigint")
     n_bytes, n_words = mine.agg(F.sum(size), F.sum(size - F.octet_length(F.translate("text", " \n\t\r", "")) + 1)).first()
-    layout = Layout(n_bytes or 0, n_words or 0, rows, load * (2 if radix else 1), chunk_bytes, shard_cells)
+    layout = Layout(n_bytes or 0, n_words or 0, rows, load * (2 if radix else 1), chunk_bytes, shard_cells, most_growth)
+    limit = max(layout.chunk_bytes, CHUNK_BYTES)
     base = mine.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(layout.chunks)).cast("int")).repartition(layout.chunks, "chunk")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +306,7 @@ def repeated_spans(docs: DataFrame, *, width: int = 50, method: str = "sketch",
                 part = batch if (chunks == chunk).all() else batch.filter(pa.array(chunks == chunk))
                 waiting.setdefault(int(chunk), []).append(part)
                 held[int(chunk)] = held.get(int(chunk), 0) + part.nbytes
-                if held[int(chunk)] > 4 * CHUNK_BYTES or sum(held.values()) > 8 * CHUNK_BYTES:
+                if held[int(chunk)] > 4 * limit or sum(held.values()) > 8 * limit:
                     yield from out(int(chunk))
         for chunk in list(waiting):
             yield from out(chunk)

@@ -13,8 +13,9 @@ that no lexicon here covers. A linear classifier is then trained on the posterio
 of a bounded sample (``sample_docs``, by hash, half of them likely toxic), and
 scores every document whole.
 
-Two passes over the corpus: one for votes (a narrow scan and one small
-aggregate) and one for scores; the training sample is read from the scan of votes.
+Two passes over all texts: one for votes (a narrow scan and one small
+aggregate) and one for scores. The training sample and the labelled documents are
+picked by hash before their texts leave the JVM.
 
 A document is toxic if the classifier's and the label model's log odds, in equal
 parts, are above ``threshold``: the classifier generalises, the votes anchor.
@@ -304,9 +305,10 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, *, sample_docs: int
         if n_toxic and n_clean:
             half = sample_docs // 2
             # chosen by a threshold of the hash, so that no sort or limit is needed; the bound holds within chance
-            pick = lambda n: F.lit(int(min(1.0, half / n) * (1 << 30)))
-            chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(1 << 30))
-            chosen = voted(docs, induced).where(chance < F.when(toxic, pick(n_toxic)).otherwise(pick(n_clean)))
+            pick = lambda n: int(min(1.0, half / n) * (1 << 30))
+            chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.xxhash64("text")), F.lit(1 << 30))
+            likely_docs = docs.where(chance < max(pick(n_toxic), pick(n_clean)))  # before the votes, so that few texts leave the JVM
+            chosen = voted(likely_docs, induced).where(chance < F.when(toxic, F.lit(pick(n_toxic))).otherwise(F.lit(pick(n_clean))))
 
             def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:

@@ -3,12 +3,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 
 from tests.llm.common import DOCS, edited, prose, rows
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):

@@ -78,6 +78,12 @@ def test_rows_without_id_and_repeated_ids(spark):
     assert {(r.doc_id, r.is_first) for r in got.collect()} == {(7, True)}
 
 
+def test_sizes_grow_with_the_root_of_the_corpus():
+    small, large = (repeats.Layout(n * 6, n, 2, 4, repeats.CHUNK_BYTES, repeats.SHARD_CELLS, 64) for n in (10**8, 25 * 10**12))
+    assert small.chunk_bytes == repeats.CHUNK_BYTES < large.chunk_bytes <= 64 * repeats.CHUNK_BYTES
+    assert 25 * 10**12 * 2 / (large.chunks * large.shards * 2) > 100  # cells a blob
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         repeats.repeated_spans(empty(spark), method="other")
