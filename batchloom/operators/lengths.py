@@ -39,18 +39,12 @@ def truncation_impact(df: DataFrame, columns: list[str], most: int) -> DataFrame
 
 def length_histogram(df: DataFrame, length: Column, boundaries: tuple[int, ...]) -> DataFrame:
     """(bucket, label, n, pct): half-open (previous, boundary]; empty buckets are there, lengths of 0 in none."""
-    spark = df.sparkSession
-    edges = [(i, f"<={b}", boundaries[i - 1] if i else 0, b) for i, b in enumerate(boundaries)] + [(len(boundaries), f">{boundaries[-1]}", boundaries[-1], 1 << 60)]
-    named = spark.createDataFrame(edges, "bucket int, label string, low bigint, high bigint")
-    chain = None
-    for i, _, low, high in edges:
-        hit = (length > low) & (length <= high)
-        chain = F.when(hit, i) if chain is None else chain.when(hit, i)
-    counts = df.groupBy(chain.alias("at")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("total"))  # one row
-    joined = named.join(counts, named["bucket"] == counts["at"], "left").join(F.broadcast(total))
-    n = F.coalesce("c", F.lit(0))
-    return joined.select("bucket", "label", n.alias("n"), (100.0 * n / F.col("total")).alias("pct"))
+    edges = [(f"<={b}", boundaries[i - 1] if i else 0, b) for i, b in enumerate(boundaries)] + [(f">{boundaries[-1]}", boundaries[-1], 1 << 60)]
+    # one pass and one row, which then becomes a row for each bucket
+    counts = [F.count_if((length > low) & (length <= high)).alias(f"n{i}") for i, (_, low, high) in enumerate(edges)]
+    row = df.agg(F.count("*").alias("total"), *counts)
+    each = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(name).alias("label"), F.col(f"n{i}").alias("n")) for i, (name, _, _) in enumerate(edges)])
+    return row.select("total", F.explode(each).alias("x")).select("x.*", F.coalesce(F.try_divide(100.0 * F.col("x.n"), F.col("total")), F.lit(0.0)).alias("pct"))
 
 
 def token_totals(df: DataFrame, ok: Column, prompt: Column, response: Column) -> DataFrame:

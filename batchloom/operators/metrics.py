@@ -47,9 +47,10 @@ def epoch_summary(batches: DataFrame, order: str = "step") -> DataFrame:
 def bucket_breakdown(batches: DataFrame, boundaries: tuple[int, ...]) -> DataFrame:
     """(label, batches, samples, mean_padding) by bucket of the padded length; buckets without batches are there."""
     labels = [f"<={b}" for b in boundaries] + [f">{boundaries[-1]}"]
-    named = batches.sparkSession.createDataFrame([(x,) for x in labels], "label string")
-    found = batches.groupBy(bucket_label(F.col("L"), boundaries).alias("label")).agg(F.count("*").alias("b"), F.sum("n").alias("s"), F.avg("padding").alias("p"))
-    return named.join(found, "label", "left").select("label", F.coalesce("b", F.lit(0)).alias("batches"), F.coalesce("s", F.lit(0)).alias("samples"), F.coalesce("p", F.lit(0.0)).alias("mean_padding"))
+    mine = bucket_label(F.col("L"), boundaries)
+    sums = [x for i, name in enumerate(labels) for x in (F.count_if(mine == name).alias(f"b{i}"), F.sum(F.when(mine == name, F.col("n"))).alias(f"s{i}"), F.avg(F.when(mine == name, F.col("padding"))).alias(f"p{i}"))]
+    each = F.array(*[F.struct(F.lit(name).alias("label"), F.col(f"b{i}").alias("batches"), F.coalesce(f"s{i}", F.lit(0)).alias("samples"), F.coalesce(f"p{i}", F.lit(0.0)).alias("mean_padding")) for i, name in enumerate(labels)])
+    return batches.agg(*sums).select(F.explode(each).alias("x")).select("x.*")
 
 
 def proxy_cost(batches: DataFrame, *, alpha: float = 1.0, beta: float = 0.0, gamma: float = 0.0) -> DataFrame:

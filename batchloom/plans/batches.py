@@ -88,18 +88,19 @@ def shard_offsets(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("end", F.sum("n_samples").over(upto)).withColumn("begin", F.col("end") - F.col("n_samples")).select("shard", "n_samples", "begin", "end")
 
 
-def locate(indexes: DataFrame, offsets: DataFrame, *, index: str = "idx", most_shards: int = 100_000) -> DataFrame:
-    """Rows with shard and place of a global index.
+def locate(indexes: DataFrame, offsets: DataFrame, *, index: str = "idx") -> DataFrame:
+    """Rows with shard and place of a global index; rows beyond the shards are left out.
 
-    A range lookup in the list of shards. Up to ``most_shards`` this is one sorted array,
-    searched by its leading run; beyond, the join is left to the planner.
+    A range lookup as an equi-join: both sides fall into bins as wide as a shard is
+    on average, so a shard lies in few, and its bounds decide. The planner
+    broadcasts the list of shards where it is small.
     """
-    if offsets.count() <= most_shards:
-        packed = offsets.agg(F.array_sort(F.collect_list(F.struct("begin", "end", "shard"))).alias("all_shards"))
-        hit = F.get(F.filter("all_shards", lambda s: (s["begin"] <= F.col(index)) & (F.col(index) < s["end"])), F.lit(0))
-        return indexes.join(F.broadcast(packed)).withColumn("hit", hit).where("hit IS NOT NULL").withColumns({"shard": F.col("hit.shard"), "place": F.col(index) - F.col("hit.begin")}).drop("hit", "all_shards")
-    inside = (offsets["begin"] <= indexes[index]) & (indexes[index] < offsets["end"])
-    return indexes.join(offsets, inside).withColumn("place", F.col(index) - F.col("begin")).drop("begin", "end", "n_samples")
+    width = offsets.agg(F.greatest(F.ceil(F.avg("n_samples")), F.lit(1)).cast("bigint")).first()[0] or 1
+    bins = F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("end") - 1) / width))
+    listed = offsets.where("end > begin").select("shard", "begin", "end", F.explode(bins).alias("shard_bin"))
+    held = indexes.withColumn("index_bin", F.floor(F.col(index) / width))
+    joined = held.join(listed, (F.col("index_bin") == F.col("shard_bin")) & (F.col("begin") <= F.col(index)) & (F.col(index) < F.col("end")))
+    return joined.withColumn("place", F.col(index) - F.col("begin")).drop("begin", "end", "shard_bin", "index_bin")
 
 
 def shard_positions(df: DataFrame, *, seed: int = 42, epoch: int = 0, shuffle: bool = True) -> DataFrame:
