@@ -23,7 +23,8 @@ def brute(texts: dict, width: int) -> set:
     marked = {}
     for found in places.values():
         if len(found) > 1:
-            marked |= {x: x == min(found) for x in found}
+            least = min(found)
+            marked |= {x: x == least for x in found}
     out = set()
     for first in (True, False):
         for d, p in marked:
