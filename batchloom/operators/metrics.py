@@ -109,6 +109,16 @@ def sweep_choice(sweep: DataFrame, *, most_padding: float = 35.0) -> DataFrame:
     return sweep.agg(F.min_by("batch_size", few).alias("fewest_batches"), F.min_by("batch_size", F.struct("padding_pct", "batch_size")).alias("least_padding"), F.min_by(F.when(F.col("padding_pct") < most_padding, F.col("batch_size")), F.when(F.col("padding_pct") < most_padding, few)).alias("balanced"))
 
 
+def throughput(batches: DataFrame, seconds: dict[str, float]) -> DataFrame:
+    """(samples_per_sec, tokens_per_sec, phase, seconds, share_pct) of an epoch, from measured seconds by phase."""
+    total = sum(seconds.values())
+    if total <= 0:
+        raise ValueError("no time was measured")
+    each = F.array(*[F.struct(F.lit(k).alias("phase"), F.lit(float(v)).alias("seconds"), F.lit(100.0 * v / total).alias("share_pct")) for k, v in seconds.items()])
+    row = batches.agg((F.sum("n") / total).alias("samples_per_sec"), (F.sum("real") / total).alias("tokens_per_sec"))
+    return row.select("samples_per_sec", "tokens_per_sec", F.explode(each).alias("x")).select("samples_per_sec", "tokens_per_sec", "x.*")
+
+
 def manifest_totals(samples: DataFrame) -> DataFrame:
     """(shards, n_samples, bytes_per_sample, avg_shard_mb)."""
     each = sample_sizes(samples).groupBy("shard").agg(F.count("*").alias("c"), (F.sum("disk_bytes") + 4).alias("d"))

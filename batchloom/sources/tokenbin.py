@@ -1,7 +1,7 @@
 """The binary formats of token sequences as a Spark data source, ``tokenbin``.
 
 Options: ``format`` sequences (one id list a record), samples (prompt and response),
-lengths, or compressed; ``mode`` FAILFAST (an error where a file is short) or
+lengths, compressed, or sample_lengths (of samples, whose ids are passed over; to read only); ``mode`` FAILFAST (an error where a file is short) or
 PERMISSIVE (what is whole is read). A path is a file, or a folder of ``.bin`` files. One task
 reads one file, in pieces of bounded size. All numbers are little-endian.
 
@@ -30,6 +30,7 @@ SCHEMAS = {
     "sequences": "file string, seq_idx bigint, ids array<int>",
     "samples": "file string, seq_idx bigint, prompt_ids array<int>, response_ids array<int>",
     "lengths": "file string, seq_idx bigint, prompt_len int, response_len int",
+    "sample_lengths": "file string, seq_idx bigint, prompt_len int, response_len int",
     "compressed": "file string, seq_idx bigint, type tinyint, ids array<int>, patch_size int, embed_dim int, vectors array<array<float>>",
 }
 WRITTEN = {
@@ -81,10 +82,20 @@ def _compressed(f) -> tuple:
     return 1, None, size, dim, np.frombuffer(_read(f, 4 * steps * dim), "<f4").reshape(steps, dim).tolist()
 
 
+def _skip_ids(f) -> int:
+    """The length of a sequence, its ids passed over."""
+    n = struct.unpack("<H", _read(f, 2))[0]
+    if n:
+        f.seek(4 * n - 1, 1)
+        _read(f, 1)
+    return n
+
+
 READERS = {
     "sequences": lambda f: (_ids(f),),
     "samples": lambda f: (_ids(f), _ids(f)),
     "lengths": lambda f: struct.unpack("<HH", _read(f, 4)),
+    "sample_lengths": lambda f: (_skip_ids(f), _skip_ids(f)),
     "compressed": _compressed,
 }
 
@@ -202,6 +213,8 @@ class TokenBin(DataSource):
         return _Reader(self.options["path"], self._kind(), self.options.get("mode", "FAILFAST").upper() != "PERMISSIVE", to_arrow_schema(schema))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if self._kind() not in WRITTEN:
+            raise ValueError(f"format {self._kind()!r} is to read only")
         missing = set(WRITTEN[self._kind()]) - set(schema.names)
         if missing:
             raise ValueError(f"columns {sorted(missing)} are missing")

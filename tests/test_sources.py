@@ -55,6 +55,11 @@ def test_round_trips(spark, tmp_path, kind):
     made.write.format("tokenbin").option("format", kind).mode("overwrite").save(at)
     back = read(spark, at, format=kind).select(*made.columns)
     assert sorted(map(str, back.collect())) == sorted(map(str, made.collect()))
+    if kind == "samples":
+        found = read(spark, at, format="sample_lengths").select("prompt_len", "response_len").collect()
+        assert sorted(map(tuple, found)) == [(0, 0), (2, 1)]
+        with pytest.raises(Exception, match="to read only"):
+            found = spark.range(1).write.format("tokenbin").option("format", "sample_lengths").mode("append").save(at)
     made.write.format("tokenbin").option("format", kind).mode("append").save(at)
     assert read(spark, at, format=kind).count() == 4
 
