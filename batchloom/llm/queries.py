@@ -84,6 +84,28 @@ FROM runs GROUP BY doc_id, is_first, g
 """
 
 
+#: Components of all pairs with a weighted Jaccard index of 0.5 or more, each pair compared.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), e AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || chr(10) || ws[i + 1]) END) AS g FROM w WHERE len(ws) > 0
+), c AS (
+  SELECT doc_id, g, count(*) AS n FROM e GROUP BY doc_id, g
+), t AS (
+  SELECT doc_id, sum(n) AS s FROM c GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS i FROM c x JOIN c y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), edges AS (
+  SELECT a, b FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE 2 * i >= x.s + y.s - i
+), ways AS (
+  SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges
+), reach AS (
+  SELECT a AS doc_id, a AS g FROM ways UNION SELECT ways.b, reach.g FROM reach JOIN ways ON ways.a = reach.doc_id
+)
+SELECT doc_id, min(g) AS group_id, doc_id = min(g) AS is_kept FROM reach GROUP BY doc_id
+"""
+
 QUERIES = (
     op1_token_counts,
     op2_gif_frames,
@@ -103,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urls.judge_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_suffix_array_dedup": REPEATS_SQL}
+    return {"op4_url_filter": urls.judge_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_suffix_array_dedup": REPEATS_SQL, "op9_near_dedup": NEAR_SQL}
