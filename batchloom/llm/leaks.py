@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from batchloom.llm.textarrays import U64, flat, mix, sliced
 
 PART_BYTES = 32 << 20
+#: Bytes of a q-gram and of a segment (13 words or so), and the edit budget as a share of a segment's bytes.
+Q, SEGMENT, RATE = 9, 80, 0.08
 LEAKS = "doc_id bigint, item_id bigint, n_segments int, start_byte bigint, end_byte bigint, edits int"
 
 
@@ -197,7 +199,7 @@ def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[int, st
         yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 12, segment: int = 128, rate: float = 0.05, part_bytes: int = PART_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, segment: int = SEGMENT, rate: float = RATE, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, n_segments, start_byte, end_byte, edits): items of which a segment lies in a document.
 
     ``edits`` is the least among the segments found, start and end span their
@@ -241,15 +243,14 @@ def _by_item(part: pa.RecordBatch, known: Segments, row: np.ndarray, seg: np.nda
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "n_segments", "start_byte", "end_byte", "edits"])
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, segment: int = SEGMENT, rate: float = RATE, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text holds no segment of an item, all columns as they are.
 
     Rows are judged by their own text, in the pass that searches them: no join.
     """
     names = docs.columns
-    q, segment, rate = settings.get("q", 12), settings.get("segment", 128), settings.get("rate", 0.05)
     out = docs
-    for part in _parts(benchmark, settings.get("part_bytes", PART_BYTES)):
+    for part in _parts(benchmark, part_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(segments(part, q=q, segment=segment, rate=rate))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

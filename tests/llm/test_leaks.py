@@ -40,14 +40,14 @@ def cases():
     for i in range(24):
         body = sentence(rng, rng.randrange(0, 40))
         if i % 2:
-            body += " " + mutate(rng, rng.choice(items), rng.randrange(0, 14)).upper() + "\n" + sentence(rng, 5)
+            body += " " + mutate(rng, rng.choice(items), rng.randrange(0, 40)).upper() + "\n" + sentence(rng, 5)
         texts.append(body)
     return items, texts
 
 
 def test_equals_brute_force(spark, cases):
     items, texts = cases
-    known = leaks.segments(list(enumerate(items)), q=12, segment=128, rate=0.05)
+    known = leaks.segments(list(enumerate(items)), q=leaks.Q, segment=leaks.SEGMENT, rate=leaks.RATE)
     expected = set()
     for d, t in enumerate(texts):
         low = leaks.fold(np.frombuffer(t.encode(), np.uint8)).tobytes()
@@ -64,6 +64,21 @@ def test_equals_brute_force(spark, cases):
     assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in got}
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(3)
+    items = [sentence(rng, 40) for _ in range(20)]
+    texts = []
+    for i in range(60):
+        words = items[i % 20].split()
+        for at in rng.sample(range(len(words)), 2):
+            words[at] = "other"
+        texts.append(f"{sentence(rng, 20)} {' '.join(words)}\n{sentence(rng, 10)}")
+    clean = [sentence(rng, 70) for _ in range(60)]
+    got = leaks.find_leaks(documents(spark, texts + clean), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} <= {(i, i % 20) for i in range(60)}
+    assert len(got) >= 57 and not {r.doc_id for r in got} & set(range(60, 120))
+
+
 def test_alignment_within_the_band():
     rng = random.Random(2)
     for _ in range(50):
