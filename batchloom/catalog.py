@@ -6,8 +6,6 @@ and 128, batches of 8, seed 42, four ranks.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from batchloom.config import LoaderConfig
 from batchloom.functions import arrays, text
 from batchloom.operators import collate, extract, lengths, metrics, patches, rollout, truncate
 from batchloom.plans import batches, ranks
+from batchloom.plans.settle import cut, place
 
 CFG = LoaderConfig(max_seq_len=128, max_prompt_len=48, max_gen_len=16, boundaries=(32, 64, 128), world_size=4, shard_size=64, window_size=2)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,7 +385,8 @@ def bucket_batches(spark, sf_dir):
 @query
 def rank_bucket_batches(spark, sf_dir):
     """Buckets and batches within each rank, as a worker sees them."""
-    held = _ranked(spark, sf_dir, "cyclic").join(planned(spark, sf_dir).select("idx", "len", "bucket"), "idx")
+    held = cut(planned(spark, sf_dir).select("idx", "bucket"))
+    held = batches.rank_shards(held, "idx", CFG.world_size, seed=CFG.seed)
     return batches.bucket_batches(held.select("pos", "idx", "rank", "bucket"), "pos", BS, by=["rank", "bucket"], seed=CFG.seed)
 
 
@@ -662,18 +662,12 @@ def preference_loss(spark, sf_dir):
 # Sources and streams
 
 
-def _scratch(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    root = named or f"file://{tempfile.mkdtemp(prefix='batchloom-')}"
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 @query
 def tokenbin_roundtrip(spark, sf_dir):
     from batchloom.sources import tokenbin
 
     tokenbin.register(spark)
-    at = _scratch(spark)
+    at = place(spark)
     pair_ids(spark, sf_dir).select("prompt_ids", "response_ids").write.format("tokenbin").option("format", "samples").mode("append").save(at)
     back = spark.read.format("tokenbin").option("format", "samples").load(at)
     return digests(back.select("prompt_ids", "response_ids"), "prompt_ids", "response_ids")
@@ -683,7 +677,7 @@ def tokenbin_roundtrip(spark, sf_dir):
 def shards_roundtrip(spark, sf_dir):
     from batchloom.sources import records
 
-    at = _scratch(spark)
+    at = place(spark)
     ids = ranks.dense_index(pair_ids(spark, sf_dir).withColumnRenamed("idx", "conv_id"), "conv_id")
     records.write_shards(records.with_shard(ids, CFG.shard_size), at, manifest={"max_seq_len": M, "pad_token_id": CFG.pad_id})
     return digests(records.load_samples(spark, at, "sft"), "prompt_ids", "response_ids")
@@ -693,7 +687,7 @@ def shards_roundtrip(spark, sf_dir):
 def stream_shuffle(spark, sf_dir):
     from batchloom.streaming import merge
 
-    at = _scratch(spark)
+    at = place(spark)
     for name in ("documents", "benchmark"):
         key = "doc_id" if name == "documents" else "item_id"
         table(spark, sf_dir, name).select(F.col(key).alias("id"), "text").write.parquet(f"{at}/in/{name}")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from batchloom.config import MODES, LoaderConfig
 from batchloom.operators import collate, truncate
 from batchloom.plans import batches
+from batchloom.plans.settle import cut
 
 TENSORS = {
     "sft": ["input_ids", "attention_mask", "labels"],
@@ -54,7 +55,7 @@ def plan(samples: DataFrame, mode: str, cfg: LoaderConfig, *, rank: int = 0, epo
         raise ValueError(f"unknown mode {mode!r}")
     if not 0 <= rank < cfg.world_size:
         raise ValueError(f"rank {rank} of {cfg.world_size}")
-    keyed = samples.select("idx", sample_length(mode, cfg).alias("len"))
+    keyed = cut(samples.select("idx", sample_length(mode, cfg).alias("len")))  # ranks read it several times
     ranked = batches.rank_shards(keyed, "idx", cfg.world_size, seed=cfg.seed, epoch=epoch, shuffle=cfg.shuffle, pad=pad).where(F.col("rank") == rank)
     bucketed = ranked.select("pos", "idx", batches.bucket(F.col("len"), cfg.boundaries, overflow=True).alias("bucket"))
     placed = batches.bucket_batches(bucketed, "pos", cfg.batch_size, by=["bucket"], seed=cfg.seed, epoch=epoch, shuffle=cfg.shuffle)

@@ -24,16 +24,15 @@ def global_rank(df: DataFrame, order: Column, ties: list[str], *, by: list[str]
     part that isn't spread by slice.
     """
     by = by or []
-    held = df.withColumn("rank_order", order).withColumn("rank_slice", F.substring("rank_order", 1, digits))
-    local = Window.partitionBy(*by, "rank_slice").orderBy("rank_order", *ties)
-    sizes = held.groupBy(*by, "rank_slice").agg(F.count("*").alias("slice_size"))
+    # one key for group and slice, so that the rows stay where the window put them when they meet the sums; nulls in a struct are equal
+    cell = F.struct(F.substring("rank_order", 1, digits).alias("slice"), *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)])
+    held = df.withColumn("rank_order", order).withColumn("rank_cell", cell)
+    local = Window.partitionBy("rank_cell").orderBy("rank_order", *ties)
+    sizes = held.groupBy("rank_cell", F.substring("rank_order", 1, digits).alias("rank_slice"), *by).agg(F.count("*").alias("cell_size"))
     before = Window.partitionBy(*by).orderBy("rank_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(c).alias(f"slice_{c}") for c in by], F.col("rank_slice").alias("start_slice"), F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("slice_start"))
-    same = F.col("rank_slice") == F.col("start_slice")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"slice_{c}"))
-    placed = held.withColumn("slice_place", F.row_number().over(local) - 1).join(starts, same)
-    return placed.withColumn(name, (F.col("slice_start") + F.col("slice_place")).cast("bigint")).drop("rank_order", "rank_slice", "slice_place", "slice_start", "start_slice", *[f"slice_{c}" for c in by])
+    starts = sizes.select(F.col("rank_cell").alias("start_cell"), F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("cell_start"))
+    placed = held.withColumn("cell_place", F.row_number().over(local) - 1).join(starts, F.col("rank_cell") == F.col("start_cell"))
+    return placed.withColumn(name, (F.col("cell_start") + F.col("cell_place")).cast("bigint")).drop("rank_order", "rank_cell", "cell_place", "cell_start", "start_cell")
 
 
 def dense_index(df: DataFrame, key: str, *, name: str = "idx", bin_size: int = 4096) -> DataFrame:
