@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 
 from batchloom.functions.text import filled, strip
 
-PROMPT_NAMES = ("prompt", "instruction", "input", "question", "human", "user", "context", "query")
-RESPONSE_NAMES = ("completion", "response", "output", "answer", "assistant", "gpt", "text", "target")
-CHAT_NAMES = ("messages", "conversations", "conversation", "dialogue", "chat")
-USERS = ("user", "human", "instruction")
-ASSISTANTS = ("assistant", "gpt", "bot", "system_response")
+#: In order of priority.
+PROMPT_NAMES = "prompt instruction input question human user context query".split()
+RESPONSE_NAMES = "completion response output answer assistant gpt text target".split()
+CHAT_NAMES = "messages conversations conversation dialogue chat".split()
+USERS = tuple("user human instruction".split())
+ASSISTANTS = tuple("assistant gpt bot system_response".split())
 TURN_MARK = "\n\nAssistant:"
 
 

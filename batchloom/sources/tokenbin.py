@@ -170,13 +170,13 @@ class _Writer(DataSourceWriter):
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.bin"
         Path(self.path).mkdir(parents=True, exist_ok=True)
         hidden, n, pack = f"{self.path}/.{name}", 0, WRITERS[self.kind]
-        with Path(hidden).open("wb") as f:
-            f.write(struct.pack("<I", 0))
+        with Path(hidden).open("wb") as out:
+            out.write(bytes(4))
             for row in rows:
-                f.write(pack(row))
+                out.write(pack(row))
                 n += 1
-            f.seek(0)
-            f.write(struct.pack("<I", n))
+            out.seek(0)
+            out.write(n.to_bytes(4, "little"))
         return _Written(hidden, f"{self.path}/{name}", n)
 
     def commit(self, messages) -> None:

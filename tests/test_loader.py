@@ -17,7 +17,7 @@ def samples(spark):
     return spark.createDataFrame(rows, "idx bigint, prompt_ids array<int>, response_ids array<int>, chosen_ids array<int>, rejected_ids array<int>").cache()
 
 
-@pytest.mark.parametrize("mode", ["sft", "reward_model", "dpo", "rollout"])
+@pytest.mark.parametrize("mode", list(loader.TENSORS))
 def test_ranks_share_the_samples(samples, mode):
     seen = Counter()
     for rank in range(3):
@@ -29,7 +29,7 @@ def test_ranks_share_the_samples(samples, mode):
     assert set(seen) == set(range(50)) and sum(seen.values()) == 51
 
 
-@pytest.mark.parametrize("mode", ["sft", "reward_model", "dpo", "rollout"])
+@pytest.mark.parametrize("mode", list(loader.TENSORS))
 def test_batches(samples, mode):
     steps = 0
     for batch in loader.iterate(loader.build_dataloader(samples, CFG, mode, rank=1)):
