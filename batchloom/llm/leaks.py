@@ -1,21 +1,22 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts and items are compared by bytes, ASCII letters in lower case and ASCII
-white space as a blank. Items of more than one and a half segments are cut into
-overlapping segments, so that a copied part of an item is found too. A segment of m
-bytes that lies in a text with k edits or fewer shares at least
+white space as a blank. A segment begins at every byte of a longer item, so that
+any copied part of a segment's length or more is found too; items of up to one and
+a half segments are looked up as a whole besides, with the edits of their length. A
+segment of m bytes that lies in a text with k edits or fewer shares at least
 m + 1 - q * (k + 1) of its q-grams with it, on diagonals that differ by k at
 most. So each worker
 
 1. hashes the q-grams of its texts and looks them up in a table of those of the
-   segments,
-2. counts the hits by text, segment and diagonal band; bands are 2(k + 1) wide
+   items,
+2. gathers the hits by text, item and diagonal band; bands are 2(k + 1) wide
    and overlap by half, so that any k + 1 neighbouring diagonals share one,
-3. keeps the bands that reach the bound, and
+3. keeps the segments whose own q-grams reach the bound in a band, and
 4. verifies these by alignment within the band, for all at once.
 
-A kept band is the only way to k edits or fewer, so nothing is lost. One narrow
-pass over the documents. The table of segments travels with the tasks; the
+A kept segment is the only way to k edits or fewer, so nothing is lost. One narrow
+pass over the documents. The table of q-grams travels with the tasks; the
 benchmark's size is checked before, and one of more than ``part_bytes`` is
 taken in parts, a pass over the documents for each.
 
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from math import ceil
 
 import numpy as np
@@ -68,14 +69,16 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """Segments of all items and the index of their q-grams."""
+    """Stretches, of which every run of ``length`` bytes is a segment, and the index of their q-grams."""
 
     q: int
-    item: np.ndarray
-    text: np.ndarray  # one row of bytes each, padded with 0
-    size: np.ndarray
-    edits: np.ndarray
+    data: np.ndarray  # the bytes of all stretches
+    off: np.ndarray
+    ids: np.ndarray  # the item of each stretch
+    length: np.ndarray
+    budget: np.ndarray
     bound: np.ndarray
+    nth: np.ndarray  # number of each stretch's first segment
     bits: int
     table: np.ndarray
     grams: np.ndarray
@@ -83,28 +86,51 @@ class Segments:
     owner: np.ndarray
     place: np.ndarray
 
+    def stretch(self, seg: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.nth, seg, "right") - 1
+
+    def rows(self, seg: np.ndarray, width: int) -> np.ndarray:
+        """One row of ``width`` bytes for each segment, padded with 0."""
+        own = self.stretch(seg)
+        at = (self.off[own] + seg - self.nth[own])[:, None] + np.arange(width)
+        return np.where(np.arange(width) < self.length[own][:, None], self.data[np.minimum(at, len(self.data) - 1)], 0)
+
+    @cached_property
+    def item(self) -> np.ndarray:
+        return np.repeat(self.ids, np.diff(self.nth))
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        return np.repeat(self.length, np.diff(self.nth))
+
+    @cached_property
+    def edits(self) -> np.ndarray:
+        return np.repeat(self.budget, np.diff(self.nth))
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        return self.rows(np.arange(self.nth[-1]), int(self.length.max(initial=1)))
+
 
 def segments(items: list[tuple[int, str]], *, q: int, segment: int, rate: float) -> Segments:
     """The index of (item_id, text)."""
-    found: list[tuple[int, bytes]] = []
+    found: set[tuple[int, bytes, int]] = set()
     for item, text in items:
         raw = fold(np.frombuffer((text or "").encode(), np.uint8)).tobytes().strip()
         if item is None or len(raw) < q:
             continue
-        if len(raw) * 2 <= segment * 3:
-            found.append((item, raw))
-        else:
-            at = [*range(0, len(raw) - segment, segment // 2), len(raw) - segment]
-            found += [(item, raw[a : a + segment]) for a in at]
-    found = sorted(set(found))
-    size = np.array([len(x) for _, x in found], np.int64)
-    text = np.zeros((len(found), int(size.max(initial=1))), np.uint8)
-    for i, (_, x) in enumerate(found):
-        text[i, : len(x)] = np.frombuffer(x, np.uint8)
-    edits = np.minimum((size * rate).astype(np.int64), size // q - 1)
-    bound = size + 1 - q * (edits + 1)
-    hashes = [gram_hashes(text[i, : size[i]], q) for i in range(len(found))]
-    owner = np.repeat(np.arange(len(found)), np.array([len(h) for h in hashes], np.int64))
+        found.add((item, raw, min(len(raw), segment)))
+        if segment < len(raw) and len(raw) * 2 <= segment * 3:
+            found.add((item, raw, len(raw)))
+    parts = sorted(found)
+    length = np.array([n for _, _, n in parts], np.int64)
+    off = np.cumsum([0, *(len(x) for _, x, _ in parts)])
+    data = np.frombuffer(b"".join(x for _, x, _ in parts), np.uint8)
+    nth = np.append(0, np.cumsum(np.diff(off) - length + 1))
+    budget = np.minimum((length * rate).astype(np.int64), length // q - 1)
+    bound = length + 1 - q * (budget + 1)
+    hashes = [gram_hashes(data[x:y], q) for x, y in zip(off[:-1], off[1:], strict=True)]
+    owner = np.repeat(np.arange(len(parts)), np.array([len(h) for h in hashes], np.int64))
     place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
     every = np.concatenate([*hashes, np.zeros(0, U64)])
     order = np.argsort(every, kind="stable")
@@ -113,7 +139,8 @@ def segments(items: list[tuple[int, str]], *, q: int, segment: int, rate: float)
     bits = max(12, ceil(np.log2(max(len(grams), 1) * 64)))
     table = np.zeros(1 << bits, bool)
     table[(grams >> U64(64 - bits)).astype(np.int64)] = True
-    return Segments(q, np.array([i for i, _ in found], np.int64), text, size, edits, bound, bits, table, grams, np.append(first, len(every)), owner, place)
+    ids = np.array([i for i, _, _ in parts], np.int64)
+    return Segments(q, data, off, ids, length, budget, bound, nth, bits, table, grams, np.append(first, len(every)), owner, place)
 
 
 def align(pattern: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -154,17 +181,16 @@ def search(part: pa.RecordBatch, known: Segments) -> tuple[np.ndarray, ...]:
     at, slot, row = at[whole], slot[whole], row[whole]
     many = known.first[slot + 1] - known.first[slot]
     index = np.repeat(known.first[slot], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    place, row, owner = np.repeat(at, many), np.repeat(row, many), known.owner[index]
+    place, row, owner, own_place = np.repeat(at, many), np.repeat(row, many), known.owner[index], known.place[index]
     if not len(owner):
         return none
-    half = known.edits[owner] + 1
-    diagonal = place - known.place[index] + known.text.shape[1]  # never negative
-    band = diagonal // half
-    spread = len(data) + 2 * known.text.shape[1] + 2
+    half = known.budget[owner] + 1
+    shift = int(np.diff(known.off).max()) + int(known.budget.max()) + 1  # no band is negative
+    band = (place - own_place + shift) // half
+    spread = len(data) + 2 * shift + 2
     keys = np.concatenate([owner * spread + band, owner * spread + band - 1])
-    rows, places = np.tile(row, 2), np.tile(place, 2)
-    order = np.lexsort((places, keys))  # places part the rows that a band spans
-    keys, rows, places = keys[order], rows[order], places[order]
+    order = np.lexsort((np.tile(place, 2), keys))  # places part the rows that a band spans
+    keys, rows = keys[order], np.tile(row, 2)[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
     begin = np.flatnonzero(new)
@@ -172,23 +198,57 @@ def search(part: pa.RecordBatch, known: Segments) -> tuple[np.ndarray, ...]:
     owner = keys[begin] // spread
     enough = count >= known.bound[owner]
     begin, count, owner = begin[enough], count[enough], owner[enough]
-    if not len(begin):
-        return none
     band, row = keys[begin] % spread, rows[begin]
-    start, end = places[begin], places[begin + count - 1] + known.q
-    out = np.zeros(len(begin), np.int64)
-    for k in np.unique(known.edits[owner]):
-        for a in range(0, int((known.edits[owner] == k).sum()), 2048):
-            pick = np.flatnonzero(known.edits[owner] == k)[a : a + 2048]
-            o, m = owner[pick], int(known.size[owner[pick]].max())
+    # the hits of these bands, by their places in the item
+    group = np.repeat(np.arange(len(begin)), count)
+    hit = order[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(len(group))] % len(place)
+    by_place = np.lexsort((own_place[hit], group))
+    hit = hit[by_place]
+    own_place, place = own_place[hit], place[hit]
+    seg, of = _reached(known, owner, group, own_place)
+    if not len(seg):
+        return none
+    owner, band, row = owner[of], band[of], row[of]
+    within = seg - known.nth[owner]
+    low_key, wide = of * shift + within, known.length[owner] - known.q
+    ends = np.stack([np.searchsorted(group * shift + own_place, low_key), np.searchsorted(group * shift + own_place, low_key + wide, "right")], axis=1).ravel()
+    start = np.minimum.reduceat(np.append(place, len(data)), ends)[::2]
+    end = np.maximum.reduceat(np.append(place, 0), ends)[::2] + known.q
+    out = np.zeros(len(seg), np.int64)
+    for k in np.unique(known.budget[owner]):
+        those = np.flatnonzero(known.budget[owner] == k)
+        for a in range(0, len(those), 2048):
+            pick = those[a : a + 2048]
+            o, m = owner[pick], int(known.length[owner[pick]].max())
             # the band's 2(k + 1) diagonals and k on either side for the free ends
-            left = band[pick] * (k + 1) - known.text.shape[1] - k
+            left = band[pick] * (k + 1) - shift - k + within[pick]
             index = left[:, None] + np.arange(m + 4 * k + 1)
             inside = (index >= off[row[pick]][:, None]) & (index < off[row[pick] + 1][:, None])
             region = np.where(inside, low[np.clip(index, 0, len(low) - 1)], 255)
-            out[pick] = align(known.text[o, :m], known.size[o], region)
-    good = out <= known.edits[owner]
-    return row[good], owner[good], start[good] - off[row[good]], end[good] - off[row[good]], out[good]
+            out[pick] = align(known.rows(seg[pick], m), known.length[o], region)
+    good = out <= known.budget[owner]
+    return row[good], seg[good], start[good] - off[row[good]], end[good] - off[row[good]], out[good]
+
+
+def _reached(known: Segments, owner: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments with as many hits as their bound, and the group of each. Hits are in order of group and place."""
+    own = owner[group]
+    last = np.arange(len(group)) + known.bound[own] - 1
+    at = np.flatnonzero(last < len(group))
+    at = at[group[last[at]] == group[at]]
+    wide = known.length[own[at]] - known.q
+    near = place[last[at]] - place[at] <= wide
+    at, wide = at[near], wide[near]
+    group, own = group[at], own[at]
+    size = known.off[own + 1] - known.off[own]
+    low = np.maximum(place[last[at]] - wide, 0)
+    high = np.minimum(place[at], size - known.length[own])
+    # neither ever falls within a group, so each run goes on after the one before
+    same = group[1:] == group[:-1]
+    low[1:] = np.where(same, np.maximum(low[1:], high[:-1] + 1), low[1:])
+    many = np.maximum(high - low + 1, 0)
+    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(known.nth[own] + low, many) + within, np.repeat(group, many)
 
 
 def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -224,7 +284,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, segment: in
 
 
 def _by_item(part: pa.RecordBatch, known: Segments, row: np.ndarray, seg: np.ndarray, start: np.ndarray, end: np.ndarray, edits: np.ndarray) -> pa.RecordBatch:
-    item = known.item[seg]
+    item = known.ids[known.stretch(seg)]
     order = np.lexsort((seg, item, row))
     row, seg, item, start, end, edits = (x[order] for x in (row, seg, item, start, end, edits))
     new = np.ones(len(row), bool)

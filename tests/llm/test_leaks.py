@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from batchloom.llm import leaks
 from pyspark.sql import functions as F
@@ -116,3 +117,27 @@ def test_repeated_rows_and_missing_ids(spark):
     benchmark = spark.createDataFrame([(5, item)], "item_id bigint, text string")
     assert [r.doc_id for r in leaks.find_leaks(docs, benchmark).collect()] == [1, 1]
     assert leaks.drop_leaks(docs, benchmark).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 120, 240])
+def test_verbatim_parts_at_every_offset(n):
+    rng = random.Random(n)
+    item = sentence(rng, n)[:n].strip().ljust(n, "x")
+    known = leaks.segments([(7, item)], q=leaks.Q, segment=leaks.SEGMENT, rate=leaks.RATE)
+    for size in (80, 90, 100):
+        texts = [f"{'?' * (i % 7)} {item[i : i + size]} {'!' * 100}" for i in range(n - size + 1)]
+        row, seg, start, end, edits = leaks.search(pa.record_batch({"text": texts}), known)
+        assert set(row.tolist()) == set(range(len(texts)))
+        exact = edits == 0
+        assert {(int(r), int(s)) for r, s in zip(row[exact], seg[exact], strict=True)} >= {(i, i) for i in range(len(texts))}
+        assert all(texts[r][a:b] in item for r, a, b in zip(row[exact], start[exact], end[exact], strict=True))
+
+
+def test_edited_parts_at_every_offset(spark):
+    rng = random.Random(8)
+    item = sentence(rng, 40)[:200]
+    cuts = [item[i : i + 80] for i in range(0, 121, 5)]
+    texts = ["?" * 90 + "".join("~" if j in (9, 25, 40, 55, 70) else c for j, c in enumerate(t)) + "?" * 90 for t in cuts]
+    got = leaks.find_leaks(documents(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    assert all(r.edits <= 6 for r in got)
