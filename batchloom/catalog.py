@@ -152,7 +152,7 @@ def trajectory_prompts(spark, sf_dir):
 @query
 def shp_swap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    raw = docs.select(F.col("doc_id").alias("idx"), F.col("lang").alias("history"), F.substring("text", 1, 40).alias("human_ref_A"), F.col("source").alias("human_ref_B"), F.col("quality").alias("labels"))
+    raw = docs.select(F.col("doc_id").alias("idx"), F.col("lang").alias("history"), F.col("text").alias("human_ref_A"), F.col("source").alias("human_ref_B"), F.col("quality").alias("labels"))
     return extract.adapt("votes", raw)
 
 

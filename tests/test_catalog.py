@@ -36,3 +36,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["bucket", "batches", "samples", "padded", "real", "padding_pct"]
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+def test_votes_take_the_whole_text(spark):
+    texts = {r.doc_id: r.text for r in catalog.table(spark, TABLES, "documents").collect()}
+    rows = catalog.shp_swap(spark, TABLES).collect()
+    assert rows and all(texts[r.idx] in (r.chosen, r.rejected) for r in rows)
+    assert any(len(texts[r.idx]) > 40 for r in rows)
