@@ -7,15 +7,15 @@ their accuracies explain get a common factor, so that copies of one opinion
 don't count twice. Expectation-maximisation fits it to the counts of vote patterns
 over all documents, of which there are a few hundred at most, so the driver gets
 counts and no documents. Where a table of labels is given, two voters more use a lexicon
-induced from a bounded sample of it (``per_class`` documents of either class): words
+induced from all labelled documents: words
 of several unlike toxic documents that clean ones lack. That reaches languages
 that no lexicon here covers. A linear classifier is then trained on the posterior labels
 of a bounded sample (``sample_docs``, by hash, half of them likely toxic), and
 scores every document whole.
 
 Two passes over all texts: one for votes (a narrow scan and one small
-aggregate) and one for scores. The training sample and the labelled documents are
-picked by hash before their texts leave the JVM.
+aggregate) and one for scores. The training sample is picked by hash before its
+texts leave the JVM. With labels, texts are shuffled once by id to meet them.
 
 A document is toxic if the classifier's and the label model's log odds, in equal
 parts, are above ``threshold``: the classifier generalises, the votes anchor.
@@ -206,7 +206,7 @@ def cast_votes(part: pa.RecordBatch, induced: np.ndarray) -> np.ndarray:
     return votes
 
 
-def induce(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, support: int = 4, ratio: float = 20.0, unlike: float = 0.2) -> np.ndarray:
+def induce(docs: DataFrame, labels: DataFrame, *, support: int = 4, ratio: float = 20.0, unlike: float = 0.2) -> np.ndarray:
     """Sorted hashes of the words that set toxic documents apart.
 
     A word needs ``support`` toxic documents that are unlike (by the least of
@@ -215,9 +215,8 @@ def induce(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, support
     clean ones.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    # 2 * per_class ids at most, so a broadcast is safe at any size of the corpus
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # labels grow with the corpus, so they are joined by shuffle at every size
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(known.hint("shuffle_hash"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,10 +288,10 @@ def voted(docs: DataFrame, induced: np.ndarray) -> DataFrame:
     return mine.mapInArrow(vote, "doc_id bigint, text string, votes bigint").where("votes > 0")
 
 
-def judge(docs: DataFrame, labels: DataFrame | None = None, *, sample_docs: int = 4000, per_class: int = 4000, threshold: float = 0.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame | None = None, *, sample_docs: int = 4000, threshold: float = 0.0) -> DataFrame:
     """(doc_id, posterior, score, toxic): the label model's probability, the classifier's, and the verdict on every row."""
     spark = docs.sparkSession
-    induced = induce(docs, labels, per_class=per_class) if labels is not None else np.zeros(0, U64)
+    induced = induce(docs, labels) if labels is not None else np.zeros(0, U64)
     patterns = voted(docs, induced).groupBy("votes").count().orderBy("votes").toArrow()
     votes, counts = _votes(patterns.column("votes").to_numpy()), patterns.column("count").to_numpy().astype(float)
     model = fit_label_model(votes, counts) if len(votes) else None

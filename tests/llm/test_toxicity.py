@@ -92,3 +92,17 @@ def test_awkward_rows(spark):
     assert toxicity.judge(docs, empty(spark, "doc_id bigint, toxic int")).count() == 13
     twice = spark.createDataFrame([(1, "hi"), (1, "hi"), (None, "ho")], "doc_id bigint, text string")
     assert toxicity.judge(twice).count() == 3
+
+
+def test_induced_words_of_all_labelled_documents(spark):
+    n, n_clean = 6000, 18000
+    own = lambda i: " ".join(f"{w}{i}" for w in "abcdefgh")
+    texts = [f"{own(i)} rare{i // 4}x" for i in range(n)] + [f"{own(i)} fine" for i in range(n, n + n_clean)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < n).cast("int").alias("toxic"))
+    got = toxicity.induce(docs, labels)
+    hashes, row, _ = toxicity._tokens(pa.RecordBatch.from_arrays([pa.array(texts[:n])], ["text"]))
+    least = np.minimum.reduceat(hashes, np.searchsorted(row, np.arange(n)))
+    rare = hashes[np.searchsorted(row, np.arange(n), "right") - 1]
+    expected = {int(rare[i]) for i in range(0, n, 4) if len(set(least[i : i + 4].tolist())) == 4}
+    assert len(expected) > 500 and set(got.tolist()) == expected
