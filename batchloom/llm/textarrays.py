@@ -84,6 +84,50 @@ def sliced(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         at = end
 
 
+def pieces(batch: pa.RecordBatch, overlap: int = 0, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(bytes, offsets, first row, number of its first word) of runs of rows with about ``most`` bytes.
+
+    A longer row comes in pieces of its own, cut between words; each but the first
+    repeats the last ``overlap`` words of the one before, so that every run of ``overlap`` + 1 words lies in one piece
+    and no task holds more than a piece in any wider form.
+    """
+    if not batch.num_rows:
+        return
+    data, off = flat(batch.column(text))
+    at = 0
+    while at < batch.num_rows:
+        if off[at + 1] - off[at] > 2 * most:
+            for low, high, base in _cuts(data[off[at] : off[at + 1]], overlap, most):
+                part = data[off[at] + low : off[at] + high]
+                yield part, np.array([0, len(part)]), at, base
+            at += 1
+            continue
+        end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        yield data[off[at] : off[end]], off[at : end + 1] - off[at], at, 0
+        at = end
+
+
+def _cuts(data: np.ndarray, overlap: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """First and last byte of each piece of a long text, and the number of its first word."""
+    at, size, base = 0, most, 0
+    while True:
+        end = min(at + size, len(data))
+        while end < len(data):  # on to the end of a word
+            blank = np.flatnonzero(_space()[data[end : end + most]])
+            end += int(blank[0]) if len(blank) else min(most, len(data) - end)
+            if len(blank):
+                break
+        starts = words(data[at:end], np.array([0, end - at]))[0]
+        if end < len(data) and len(starts) <= overlap:
+            size *= 2
+            continue
+        yield at, end, base
+        if end == len(data):
+            return
+        base += len(starts) - overlap
+        at, size = at + int(starts[len(starts) - overlap]) if overlap else end, most
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the n + 1 offsets of the rows in these."""
     if not len(data):
@@ -108,6 +152,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             low = starts[at]
             to = max(at + 1, int(np.searchsorted(ends, low + SLICE_BYTES, "right")))
             high = ends[to - 1]
+            if high - low > 4 * SLICE_BYTES:  # one long word, in blocks
+                up, _ = powers(WORD_BASE, SLICE_BYTES)
+                total, size = 0, int(high - low)
+                for a in range(0, size, SLICE_BYTES):
+                    part = data[low + a : min(low + a + SLICE_BYTES, high)]
+                    total += int(((part + U64(1)) * up[: len(part)]).sum(dtype=U64)) * pow(WORD_BASE, a, 1 << 64)
+                out[at] = mix(np.array([(total + size) % (1 << 64)], U64))[0]
+                at = to
+                continue
             up, down = powers(WORD_BASE, int(high - low) + 1)
             total = np.empty(high - low + 1, U64)
             total[0] = 0

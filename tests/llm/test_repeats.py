@@ -5,8 +5,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from batchloom.llm import repeats
+from batchloom.llm import repeats, textarrays
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -111,7 +112,84 @@ def test_codes_round_trip(cells, top):
     assert (repeats.decode(repeats.encode(cells)) == cells).all()
 
 
-@given(st.lists(st.integers(0, 2**64 - 1), max_size=200), st.integers(0, 60))
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1)), max_size=200), st.integers(0, 60))
 def test_radix_sorts(keys, shift):
-    keys = np.array(keys, np.uint64) >> np.uint64(shift)
-    assert (keys[repeats._radix(keys)] == np.sort(keys)).all()
+    a, b = np.array(keys, np.uint64).reshape(-1, 2).T >> np.uint64(shift)
+    order = repeats._radix(a, b)
+    assert list(zip(a[order], b[order])) == sorted(zip(a, b))
+
+
+@pytest.mark.parametrize("radix", [True, False])
+def test_keys_that_agree_in_one_code_stay_apart(radix):
+    """Forced collisions: of either code alone."""
+    entries = [(5, 1), (5, 2), (6, 1), (5, 1), (7, 7)]
+    rows = {"first": [], "second": [], "ids": [], "owners": [], "places": [], "twice": []}
+    for chunk, (a, b) in enumerate(entries):
+        for name, value in (("first", np.array([a], np.uint64).tobytes()), ("second", np.array([b], np.uint64).tobytes()), ("ids", np.array([10 - chunk]).tobytes()), ("owners", repeats.planes(np.array([0]))), ("places", repeats.planes(np.array([3]))), ("twice", np.packbits([chunk == 4]).tobytes())):
+            rows[name].append(value)
+    said = list(repeats._exact(pa.table(rows), radix))
+    assert [again[0] >> 7 for again, _ in said] == [1, 0, 0, 1, 1]
+    assert [leads[0] >> 7 for _, leads in said] == [0, 1, 1, 1, 1]
+
+
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
+def test_planes_round_trip(x):
+    assert repeats.unplaned(repeats.planes(np.array(x, np.int64))).tolist() == x
+
+
+def test_digits_are_of_words():
+    words = [f"w{i}" for i in range(60)]
+    other = [*words[:12], "z", *words[13:]]
+
+    def codes(ws, upto):
+        hashes, begin, *_ = next(repeats._windows([pa.record_batch({"text": [" ".join(ws)]})], 50))
+        return repeats.Digits(50, (10, 25)).codes(hashes, begin, upto)
+
+    assert codes(words, 1)[0] == codes(other, 1)[0] and codes(words, 1)[3] != codes(other, 1)[3]
+    assert codes(words, 2)[0] != codes(other, 2)[0]
+    first, second = repeats.Digits(50, (10, 25)).key(*next(repeats._windows([pa.record_batch({"text": [" ".join(words)]})], 50))[:2])
+    changed = repeats.Digits(50, (10, 25)).key(*next(repeats._windows([pa.record_batch({"text": [" ".join([*words[:40], "z", *words[41:]])]})], 50))[:2])
+    assert first[0] == changed[0][0] and second[0] != changed[1][0]
+
+
+@pytest.mark.parametrize("method", ["sketch", "radix"])
+def test_one_passage_in_every_document(spark, method):
+    """A hot window costs its shard a row a chunk, however often it occurs."""
+    rng = random.Random(2)
+    passage = prose(rng, 55)
+    texts = [f"{prose(rng, 5)} {passage} {prose(rng, 3)} {passage}" for _ in range(300)]
+    docs = documents(spark, texts)
+    assert found(repeats.repeated_spans(docs, method=method, chunk_bytes=20_000, shard_cells=4000)) == brute(dict(enumerate(texts)), 50)
+    batch = pa.record_batch({"doc_id": list(range(300)), "text": texts})
+    digits, layout = repeats.Digits(50), repeats.Layout(10**6, 10**5, 1, 4, 1 << 20, 1 << 20, 64)
+    back = [(s, repeats.encode(np.unique(repeats.decode(b)))) for s, b in repeats._first_cells([batch], digits, layout)]
+    sent = [r for r in repeats._chunk_found([batch], back, digits, layout) if r[0] >= 0]
+    passages = [repeats.unplaned(r[5]) for r in sent]
+    assert sum(map(len, passages)) == len({tuple(t.split()[p : p + 50]) for t in texts for p in range(len(t.split()) - 49)})
+
+
+@pytest.mark.parametrize("method", ["sketch", "radix"])
+def test_long_texts_in_pieces(spark, method):
+    rng = random.Random(6)
+    long = prose(rng, 700_000, 10**9)
+    texts = [long, " ".join(long.split()[300_000:300_200]), "x" * 6_000_000 + " " + prose(rng, 60), prose(rng, 60)]
+    texts.append(texts[2])
+    got = found(repeats.repeated_spans(documents(spark, texts), method=method))
+    assert got == {(0, 300_000, 300_200, 151, True), (1, 0, 200, 151, False), (2, 0, 61, 12, True), (4, 0, 61, 12, False)}
+
+
+@given(st.lists(st.sampled_from(["a", "bb", " ", "\n", "cccccccc "]), max_size=80), st.integers(0, 4), st.integers(1, 20))
+def test_pieces_hold_every_run_of_words_once(parts, overlap, most):
+    text = "".join(parts)
+    batch = pa.record_batch({"text": [None, text, "one two"]})
+    seen = []
+    for data, off, row, base in textarrays.pieces(batch, overlap, most=most):
+        starts, ends, word_off = textarrays.words(data, off)
+        begin, owner = textarrays.window_starts(word_off, overlap + 1)
+        for b, o in zip(begin.tolist(), owner.tolist()):
+            seen.append((o + row, b - int(word_off[o]) + base, tuple(data[starts[k] : ends[k]].tobytes().decode() for k in range(b, b + overlap + 1))))
+    expected = []
+    for r, t in enumerate(["", text, "one two"]):
+        w = t.split()
+        expected += [(r, i, tuple(w[i : i + overlap + 1])) for i in range(len(w) - overlap)]
+    assert seen == expected
