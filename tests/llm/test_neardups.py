@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from batchloom.llm import neardups
+from batchloom.llm import neardups, textarrays
 from pyspark.sql import functions as F
 
 from tests.llm.common import AWKWARD, documents, edited, empty, prose
@@ -79,6 +79,58 @@ def test_large_group_of_copies(spark):
     assert {r.group_id for r in got} == {0} and len(got) == 350
 
 
+def test_fifty_thousand_copies_are_one_class(spark):
+    text = prose(random.Random(5), 40)
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).unionAll(spark.createDataFrame([(60_000, edited(random.Random(6), text, 3))], "doc_id bigint, text string"))
+    groups = neardups.near_groups(docs)
+    assert groups.count() == 50_001 and groups.select("group_id").distinct().count() == 1
+    assert neardups.keep_one(docs, groups).count() == 1
+
+
+def test_pages_of_one_template_just_below_the_threshold(spark):
+    """All share a key with many classes; only those that are alike are joined, whoever is the least of the key."""
+    rng = random.Random(7)
+    template = prose(rng, 60)
+    texts = [f"{template} {prose(rng, 40, 10**6)}" for _ in range(300)]
+    texts += [edited(rng, t, 2) for t in texts[200:260]]
+    expected, pairs = brute_groups(texts, neardups.THRESHOLD)
+    got = {r.doc_id: r.group_id for r in neardups.near_groups(documents(spark, texts)).collect()}
+    assert len(pairs) >= 60 and got == {i: g for i, g in expected.items() if list(expected.values()).count(g) > 1}
+
+
+def test_blocks_and_pairs_agree(spark):
+    rng = random.Random(9)
+    texts = [edited(rng, prose(random.Random(1), 60), rng.randrange(4, 14)) for _ in range(90)]
+    bags = neardups._bags(documents(spark, texts), spark.range(90).select(F.col("id").alias("doc_id"))).persist()
+    keys = spark.range(90).select(F.lit(1).alias("key"), F.col("id").alias("doc_id"), F.col("id").alias("group"), F.lit(90 * neardups.BLOCK // 20).alias("n"))
+    pairs = spark.range(90).alias("x").join(spark.range(90).alias("y"), F.expr("x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    got = {tuple(r) for r in neardups._in_blocks(keys, bags, 0.4).collect()}
+    assert got == {tuple(r) for r in neardups.verified(bags, pairs, 0.4).collect()} == {(j, i) for j, i in brute_groups(texts, 0.4)[1]}
+    assert 0 < len(got) < 90 * 89 / 2
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 30) for _ in range(3000))
+    whole = neardups.multisets(pa.array([text]))
+    monkeypatch.setattr(neardups, "SLICE_BYTES", 500)
+    monkeypatch.setattr(neardups, "ELEMENTS", 700)
+    monkeypatch.setattr(neardups, "pieces", lambda batch, overlap: textarrays.pieces(batch, overlap, most=500))
+    _, row, element, count = next(neardups.bagged(pa.record_batch({"text": [text]})))
+    assert (element == whole[1]).all() and (count == whole[2]).all() and not row.any()
+    blocks = neardups.signatures(row, element, count, 1, 64)
+    monkeypatch.setattr(neardups, "ELEMENTS", 10**9)
+    assert (blocks == neardups.signatures(row, element, count, 1, 64)).all()
+    for t, n in (("x" * 5000, 1), ("x" * 5000 + " y", 1), (" " * 5000, 0)):
+        assert len(next(neardups.bagged(pa.record_batch({"text": [t]})))[2]) == n
+
+
+def test_rows_of_one_id_tie_their_texts_together(spark):
+    a, b, c = (prose(random.Random(i), 30) for i in range(3))
+    docs = spark.createDataFrame([(4, a), (4, b), (2, a), (9, b), (5, c)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.group_id) for r in neardups.near_groups(docs).collect()} == {(2, 2), (4, 2), (9, 2)}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(9)
     errors = []
