@@ -15,16 +15,21 @@ most. So each worker
 3. keeps the segments whose own q-grams reach the bound in a band, and
 4. verifies these by alignment within the band, for all at once.
 
-A kept segment is the only way to k edits or fewer, so nothing is lost. One narrow
-pass over the documents. The table of q-grams travels with the tasks; the
-benchmark's size is checked before, and one of more than ``part_bytes`` is
-taken in parts, a pass over the documents for each.
+A kept segment is the only way to k edits or fewer, so nothing is lost. An item shorter than q bytes is found
+where it lies as it is, and no letter, digit or byte beyond ASCII is beside it. One narrow
+pass over the documents.
+
+The index of q-grams travels with the tasks in parts. A part has ``part_bytes`` at most, by the size
+of what is sent, not of the items; a worker holds one part at a time, whatever the number of
+parts, and goes through them for every ``HELD_BYTES`` of text. A benchmark of more than ``PASS_PARTS``
+parts takes a pass over the documents for each so many, whose outcome is written to the shared folder.
 
 Defined cases: null and blank texts and items have no segments and no hits; an
 item too short for the bound to be 1 at least is looked up with the most edits
-for which it is, and one shorter than q bytes is left out. Rows are searched one
+for which it is. Rows are searched one
 by one, so repeated rows repeat their result; several rows of one item_id count
-as parts of one item. Items and documents without an id are left out of the
+as parts of one item. An item of more than ``STRETCH`` bytes, or of more than a part of the index holds, is looked up as several and
+may have a row for each. Long texts are searched in overlapping pieces. Items and documents without an id are left out of the
 result, though such documents are kept by ``drop_leaks``. Extra columns are not
 read.
 """
@@ -34,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -41,9 +47,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.textarrays import U64, flat, mix, sliced
+from batchloom.llm.shared import cut
+from batchloom.llm.textarrays import SLICE_BYTES, U64, flat, mix, sliced
 
-PART_BYTES = 32 << 20
+#: Bytes of a part of the index as it is sent, parts of a pass, bytes of text for which the parts are gone through, and bytes of an item that are one stretch.
+PART_BYTES, PASS_PARTS, HELD_BYTES, STRETCH = 128 << 20, 64, 64 << 20, 1 << 20
 #: Bytes of a q-gram and of a segment (13 words or so), and the edit budget as a share of a segment's bytes.
 Q, SEGMENT, RATE = 9, 80, 0.08
 LEAKS = "doc_id bigint, item_id bigint, n_segments int, start_byte bigint, end_byte bigint, edits int"
@@ -112,12 +120,13 @@ class Segments:
         return self.rows(np.arange(self.nth[-1]), int(self.length.max(initial=1)))
 
 
-def segments(items: list[tuple[int, str]], *, q: int, segment: int, rate: float) -> Segments:
+def segments(items: list[tuple[int, str | bytes]], *, q: int, segment: int, rate: float) -> Segments:
     """The index of (item_id, text)."""
     found: set[tuple[int, bytes, int]] = set()
     for item, text in items:
-        raw = fold(np.frombuffer((text or "").encode(), np.uint8)).tobytes().strip()
-        if item is None or len(raw) < q:
+        data = text if isinstance(text, bytes) else (text or "").encode()
+        raw = fold(np.frombuffer(data, np.uint8)).tobytes().strip()
+        if item is None or not raw:
             continue
         found.add((item, raw, min(len(raw), segment)))
         if segment < len(raw) and len(raw) * 2 <= segment * 3:
@@ -127,20 +136,25 @@ def segments(items: list[tuple[int, str]], *, q: int, segment: int, rate: float)
     off = np.cumsum([0, *(len(x) for _, x, _ in parts)])
     data = np.frombuffer(b"".join(x for _, x, _ in parts), np.uint8)
     nth = np.append(0, np.cumsum(np.diff(off) - length + 1))
-    budget = np.minimum((length * rate).astype(np.int64), length // q - 1)
+    budget = np.maximum(np.minimum((length * rate).astype(np.int64), length // q - 1), 0)
     bound = length + 1 - q * (budget + 1)
     hashes = [gram_hashes(data[x:y], q) for x, y in zip(off[:-1], off[1:], strict=True)]
     owner = np.repeat(np.arange(len(parts)), np.array([len(h) for h in hashes], np.int64))
     place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
     every = np.concatenate([*hashes, np.zeros(0, U64)])
     order = np.argsort(every, kind="stable")
-    every, owner, place = every[order], owner[order], place[order]
+    every, owner, place = every[order], owner[order].astype(np.int32), place[order].astype(np.int32)
     grams, first = np.unique(every, return_index=True)
-    bits = max(12, ceil(np.log2(max(len(grams), 1) * 64)))
-    table = np.zeros(1 << bits, bool)
-    table[(grams >> U64(64 - bits)).astype(np.int64)] = True
+    bits = max(12, ceil(np.log2(max(len(grams), 1) * 32)))
+    flags = np.zeros(1 << bits, bool)
+    flags[(grams >> U64(64 - bits)).astype(np.int64)] = True
     ids = np.array([i for i, _, _ in parts], np.int64)
-    return Segments(q, data, off, ids, length, budget, bound, nth, bits, table, grams, np.append(first, len(every)), owner, place)
+    return Segments(q, data, off, ids, length, budget, bound, nth, bits, np.packbits(flags, bitorder="little"), grams, np.append(first, len(every)).astype(np.int32), owner, place)
+
+
+def index_bytes(n: int, segment: int) -> int:
+    """What an item of ``n`` bytes adds to the index at most: a q-gram takes 20 bytes and up to 8 of the table."""
+    return (60 if segment < n <= segment * 3 // 2 else 30) * n + 256
 
 
 def align(pattern: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -164,24 +178,78 @@ def align(pattern: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray
     return best
 
 
-def search(part: pa.RecordBatch, known: Segments) -> tuple[np.ndarray, ...]:
-    """(row, segment, start, end, edits) of every segment found in a row, best region first come."""
+def search(part: pa.RecordBatch, known: Segments, most: int = SLICE_BYTES) -> tuple[np.ndarray, ...]:
+    """(row, segment, start, end, edits) of every segment found in a row, best region first come; a long row's may repeat."""
     data, off = flat(part.column("text"))
+    found = []
+    reach = int((known.length + known.budget).max(initial=0)) + known.q
+    for low, high, a, b in _stretches(off, most, reach):
+        row, seg, start, end, edits = (np.concatenate(x) for x in zip(_short(data[a:b], np.minimum(np.maximum(off[low : high + 1], a), b) - a, known, a > off[low], b < off[high]), _search(data[a:b], np.minimum(np.maximum(off[low : high + 1], a), b) - a, known)))
+        shift = a - off[low]
+        found.append((row + low, seg, start + shift, end + shift, edits))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def _stretches(off: np.ndarray, most: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of rows and their bytes; a long row in pieces that overlap by ``reach``."""
+    at, n = 0, len(off) - 1
+    while at < n:
+        if off[at + 1] - off[at] > 2 * most:
+            for a in range(int(off[at]), int(off[at + 1]), most):
+                yield at, at + 1, a, min(a + most + reach, int(off[at + 1]))
+            at += 1
+            continue
+        end = at + 1
+        while end < n and off[end + 1] - off[at] <= 2 * most:
+            end += 1
+        yield at, end, int(off[at]), int(off[end])
+        at = end
+
+
+def _short(data: np.ndarray, off: np.ndarray, known: Segments, more_before: bool, more_after: bool) -> tuple[np.ndarray, ...]:
+    """As ``search``, for items shorter than a q-gram: their bytes as they are, between boundaries."""
+    found = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    short = np.flatnonzero(known.length < known.q)
+    if len(short) and len(data):
+        low = fold(data)
+        solid = (low >= 97) & (low <= 122) | (low >= 48) & (low <= 57) | (low >= 128)
+        padded = np.concatenate([low, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(low),), "<u8", padded, strides=(1,))
+        for n in np.unique(known.length[short]).tolist():
+            mine = short[known.length[short] == n]
+            mask = U64((1 << 8 * n) - 1)
+            codes = np.array([int.from_bytes(known.data[known.off[k] : known.off[k + 1]].tobytes(), "little") for k in mine], U64)
+            at = np.flatnonzero(np.isin(eights & mask, codes))
+            row = np.searchsorted(off, at, "right") - 1
+            left, right = off[row], off[row + 1]
+            before = np.where(at > left, solid[np.maximum(at - 1, 0)], more_before)
+            after = np.where(at + n < right, solid[np.minimum(at + n, len(low) - 1)], more_after)
+            good = (at + n <= right) & ~before & ~after
+            at, row = at[good], row[good]
+            for k, code in zip(mine.tolist(), codes):
+                hit = (eights[at] & mask) == code
+                found.append((row[hit], np.full(int(hit.sum()), known.nth[k]), at[hit] - off[row[hit]], at[hit] + n - off[row[hit]], np.zeros(int(hit.sum()), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _search(data: np.ndarray, off: np.ndarray, known: Segments) -> tuple[np.ndarray, ...]:
+    """As ``search``, for rows of moderate size and items of a q-gram at least."""
     low = fold(data)
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     hashes = gram_hashes(low, known.q)
     if not len(hashes) or not len(known.grams):
         return none
-    at = np.flatnonzero(known.table[(hashes >> U64(64 - known.bits)).astype(np.int64)])
+    cell = (hashes >> U64(64 - known.bits)).astype(np.int64)
+    at = np.flatnonzero(known.table[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
     slot = np.minimum(np.searchsorted(known.grams, hashes[at]), len(known.grams) - 1)
     same = known.grams[slot] == hashes[at]
     at, slot = at[same], slot[same]
     row = np.searchsorted(off, at, "right") - 1
     whole = at + known.q <= off[row + 1]
     at, slot, row = at[whole], slot[whole], row[whole]
-    many = known.first[slot + 1] - known.first[slot]
-    index = np.repeat(known.first[slot], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    place, row, owner, own_place = np.repeat(at, many), np.repeat(row, many), known.owner[index], known.place[index]
+    many = (known.first[slot + 1] - known.first[slot]).astype(np.int64)
+    index = np.repeat(known.first[slot].astype(np.int64), many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    place, row, owner, own_place = np.repeat(at, many), np.repeat(row, many), known.owner[index].astype(np.int64), known.place[index].astype(np.int64)
     if not len(owner):
         return none
     half = known.budget[owner] + 1
@@ -251,12 +319,66 @@ def _reached(known: Segments, owner: np.ndarray, group: np.ndarray, place: np.nd
     return np.repeat(known.nth[own] + low, many) + within, np.repeat(group, many)
 
 
-def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    n_bytes = items.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    parts = max(1, ceil(n_bytes / part_bytes))
-    for p in range(parts):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()]
+def parts_of(items: Iterator[tuple[int, bytes]], *, segment: int, part_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Items, in order of their ids, in lists whose index is within ``part_bytes``; one of them may hold a single stretch that isn't."""
+    part: list[tuple[int, bytes]] = []
+    held = start = since = 0  # bytes of the index, the place in the part of the item's first stretch, and the bytes before that
+    for item, text in items:
+        for at in range(0, max(len(text), 1), STRETCH):
+            stretch = text[at : at + STRETCH + segment - 1]
+            size = index_bytes(len(stretch), segment)
+            if part and part[-1][0] != item:
+                start, since = len(part), held
+            if part and held + size > part_bytes:
+                # an item's rows stay together where they fit into a part
+                rest = part[start:] if part[-1][0] == item and 0 < start and held - since + size <= part_bytes else []
+                yield part[: len(part) - len(rest)]
+                part, held, start, since = rest, (held - since if rest else 0), 0, 0
+            part.append((item, stretch))
+            held += size
+    if part:
+        yield part
+
+
+def _shared(benchmark: DataFrame, q: int, segment: int, rate: float, part_bytes: int) -> Iterator:
+    """The parts of the index, each as a broadcast; the driver holds one at a time."""
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).orderBy("item_id", "text")
+    items = ((r.item_id, r.text.encode()) for r in rows.toLocalIterator())
+    for part in parts_of(items, segment=segment, part_bytes=part_bytes):
+        yield benchmark.sparkSession.sparkContext.broadcast(segments(part, q=q, segment=segment, rate=rate))
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[tuple[list[pa.RecordBatch], Segments]]:
+    """Some batches with each part of the index; a worker holds one part, and reads it again where there are several."""
+    if len(shared) == 1:
+        for batch in batches:
+            yield [batch], shared[0].value
+        return
+    held: list[pa.RecordBatch] = []
+    while True:
+        held = list(islice(batches, 1))
+        while held and sum(b.nbytes for b in held) < HELD_BYTES and (more := next(batches, None)) is not None:
+            held.append(more)
+        if not held:
+            return
+        for one in shared:
+            yield held, one.load_from_path(one._path)
+
+
+def _passes(benchmark: DataFrame, out: DataFrame | None, run, *args) -> list[DataFrame]:
+    """``run`` with the parts of each pass; all but the last outcome are written, and their parts let go."""
+    parts, done = _shared(benchmark, *args), []
+    now = list(islice(parts, PASS_PARTS))
+    while now:
+        then = list(islice(parts, PASS_PARTS))
+        found = run(out, now)
+        if then:
+            found = cut(found)
+            for one in now:
+                one.destroy()
+        done.append(found)
+        out, now = found, then
+    return done
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, segment: int = SEGMENT, rate: float = RATE, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -267,20 +389,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, segment: in
     """
     mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
-    def searched(known: Segments) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(known)
-
+    def run(_, shared: list) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                for part in sliced(batch):
-                    row, seg, start, end, edits = search(part, own)
-                    if len(row):
-                        yield _by_item(part, own, row, seg, start, end, edits)
+            for held, known in _in_turn(batches, shared):
+                for batch in held:
+                    for part in sliced(batch):
+                        row, seg, start, end, edits = search(part, known)
+                        if len(row):
+                            yield _by_item(part, known, row, seg, start, end, edits)
 
         return mine.mapInArrow(find, LEAKS)
 
-    return reduce(DataFrame.unionAll, [searched(segments(part, q=q, segment=segment, rate=rate)) for part in _parts(benchmark, part_bytes)])
+    found = _passes(benchmark, None, run, q, segment, rate, part_bytes)
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], LEAKS)
 
 
 def _by_item(part: pa.RecordBatch, known: Segments, row: np.ndarray, seg: np.ndarray, start: np.ndarray, end: np.ndarray, edits: np.ndarray) -> pa.RecordBatch:
@@ -308,19 +429,28 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, segment: in
 
     Rows are judged by their own text, in the pass that searches them: no join.
     """
-    names = docs.columns
-    out = docs
-    for part in _parts(benchmark, part_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(segments(part, q=q, segment=segment, rate=rate))
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = 0
-                for piece in sliced(batch.select(["text"])):
-                    clean = np.ones(piece.num_rows, bool)
-                    clean[search(piece, shared.value)[0]] = False
-                    yield batch.slice(at, piece.num_rows).filter(pa.array(clean))
-                    at += piece.num_rows
-
-        out = out.mapInArrow(keep, docs.schema)
-    return out.select(*[F.col(f"`{c}`") for c in names])
+
+    def run(out: DataFrame, shared: list) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            clean: list[np.ndarray] = []
+            before = None
+            for held, known in _in_turn(batches, shared):
+                if held is not before:
+                    yield from _rows(before, clean)
+                    before, clean = held, [np.ones(b.num_rows, bool) for b in held]
+                for batch, good in zip(held, clean, strict=True):
+                    at = 0
+                    for piece in sliced(batch.select(["text"])):
+                        good[at + search(piece, known)[0]] = False
+                        at += piece.num_rows
+            yield from _rows(before, clean)
+
+        return out.mapInArrow(keep, docs.schema)
+
+    out = (_passes(benchmark, docs, run, q, segment, rate, part_bytes) or [docs])[-1]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _rows(batches: list[pa.RecordBatch] | None, good: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch, flags in zip(batches or [], good, strict=True):
+        yield batch.filter(pa.array(flags))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 
 import numpy as np
@@ -61,7 +62,7 @@ def test_equals_brute_force(spark, cases):
     assert {(r.doc_id, r.item_id) for r in got} == expected and len(got) == len(expected)
     assert 0 < len(expected) < 24
     assert {r.doc_id for r in leaks.drop_leaks(docs, benchmark).collect()} == set(range(24)) - {d for d, _ in expected}
-    parts = leaks.find_leaks(docs, benchmark, part_bytes=300)
+    parts = leaks.find_leaks(docs, benchmark, part_bytes=12_000)
     assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in got}
 
 
@@ -141,3 +142,47 @@ def test_edited_parts_at_every_offset(spark):
     got = leaks.find_leaks(documents(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(texts)))
     assert all(r.edits <= 6 for r in got)
+
+
+def test_items_shorter_than_a_gram(spark):
+    benchmark = spark.createDataFrame([(1, "Short"), (2, "q: 7?"), (3, "é")], "item_id bigint, text string")
+    texts = ["a short one", "shorter", "not\tSHORT", "so: q: 7? yes", "é", "cafés", "short", ""]
+    got = leaks.find_leaks(documents(spark, texts), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.start_byte, r.end_byte, r.edits) for r in got} == {(0, 1, 2, 7, 0), (2, 1, 4, 9, 0), (3, 2, 4, 9, 0), (4, 3, 0, 2, 0), (6, 1, 0, 5, 0)}
+
+
+def test_parts_stay_below_their_bound():
+    rng = random.Random(5)
+    items = [(i // 2, sentence(rng, rng.choice([3, 16, 20, 300])).encode()) for i in range(400)]
+    parts = list(leaks.parts_of(iter(items), segment=leaks.SEGMENT, part_bytes=200_000))
+    assert len(parts) > 3 and [x for p in parts for x in p] == items
+    for part in parts:
+        assert len(pickle.dumps(leaks.segments(part, q=leaks.Q, segment=leaks.SEGMENT, rate=leaks.RATE))) <= 200_000
+    ends = [(p[0][0], p[-1][0]) for p in parts]
+    assert all(a[1] != b[0] for a, b in zip(ends, ends[1:]))  # an item's rows lie in one part
+    long = list(leaks.parts_of(iter([(1, b"ab " * 1_000_000), (2, b"x")]), segment=leaks.SEGMENT, part_bytes=40 << 20))
+    assert [len(p) for p in long] == [1, 1, 2]
+
+
+def test_many_parts_and_passes_give_the_same(spark, cases, monkeypatch):
+    items, texts = cases
+    benchmark = spark.createDataFrame([*enumerate(items), (9, "tiny")], "item_id bigint, text string")
+    docs = documents(spark, [*texts, "tiny"])
+    got = {tuple(r) for r in leaks.find_leaks(docs, benchmark).collect()}
+    clean = {r.doc_id for r in leaks.drop_leaks(docs, benchmark).collect()}
+    for parts in (64, 2):
+        monkeypatch.setattr(leaks, "PASS_PARTS", parts)
+        assert {tuple(r) for r in leaks.find_leaks(docs, benchmark, part_bytes=9000).collect()} == got
+        assert {r.doc_id for r in leaks.drop_leaks(docs, benchmark, part_bytes=9000).collect()} == clean
+
+
+def test_long_texts_are_searched_in_pieces():
+    rng = random.Random(13)
+    item = sentence(rng, 30)
+    known = leaks.segments([(7, item), (8, "tiny")], q=leaks.Q, segment=leaks.SEGMENT, rate=leaks.RATE)
+    for lead in range(380, 420, 3):
+        text = sentence(rng, 400)[:lead] + " " + item + " " + sentence(rng, 200) + " tiny untiny"
+        batch = pa.record_batch({"text": ["a", text, None, "b tiny"]})
+        one = leaks._by_item(batch.append_column("doc_id", pa.array([0, 1, 2, 3])), known, *leaks.search(batch, known))
+        several = leaks._by_item(batch.append_column("doc_id", pa.array([0, 1, 2, 3])), known, *leaks.search(batch, known, most=200))
+        assert one.to_pylist() == several.to_pylist() and one.num_rows == 3
