@@ -3,14 +3,14 @@
 Indicators of byte, word and word-shape n-grams are scaled by their class
 log-count ratios, and a linear hinge-loss model is fitted to them by dual
 coordinate descent. Fitting takes a bounded sample of the labelled rows, chosen
-by hash (``per_class`` rows of each class); scoring reads every document whole,
+by hash (``per_class`` documents of each class, one row each); scoring reads every document whole,
 in one pass and without a shuffle.
 
 Defined cases: labels other than 0 and 1 are ignored; a document with several
 labels counts by the least; if a class has no labelled document there is no
 model, margins are null and all texts that aren't blank are accepted. Null and
 blank texts have a null margin and are rejected. Repeated rows are scored one
-by one. Input columns named like a result column give way to it.
+by one; in the sample an id counts once, by the least of its texts. Long texts are read in overlapping pieces. Input columns named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.llm.textarrays import U64, flat, mix, sliced, word_hashes, words
+from batchloom.llm.textarrays import SLICE_BYTES, U64, mix, pieces, word_hashes, words
 
 FEATURES = 1 << 19
 
@@ -62,9 +62,8 @@ def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
 def features(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, np.ndarray]]:
     """Row number and distinct feature ids of every row."""
     stamp = np.zeros(FEATURES, np.int64)
-    at = 0
-    for part in sliced(batch, text):
-        data, off = flat(part.column(text))
+    waiting: tuple[int, np.ndarray] | None = None  # of a long row, until its last piece has come
+    for data, off, first, base in pieces(batch, 3, text, SLICE_BYTES):
         starts, ends, word_off = words(data, off)
         hashes = word_hashes(data, starts, ends)
         shape = _shapes(data, starts, ends, hashes) if len(starts) else np.zeros(0, np.int64)
@@ -76,13 +75,21 @@ def features(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, n
         with np.errstate(over="ignore"):
             one_word = (hashes >> U64(47)).astype(np.int64) + 0x40000
             two_words = (mix(hashes[:-1] * U64(3) + hashes[1:]) >> U64(47)).astype(np.int64) + 0x60000
-        for i in range(part.num_rows):
+        for i in range(len(off) - 1):
             a, b, v, w = off[i], off[i + 1], word_off[i], word_off[i + 1]
-            found = np.concatenate([two[a : max(a, b - 1)], three[a : max(a, b - 2)], shape2[v : max(v, w - 1)], shape3[v : max(v, w - 2)], one_word[v:w], two_words[v : max(v, w - 1)]])
+            known = v + (base > 0)  # a later piece doesn't know what came before its first word
+            found = np.concatenate([two[a : max(a, b - 1)], three[a : max(a, b - 2)], shape2[known : max(known, w - 1)], shape3[known : max(known, w - 2)], one_word[v:w], two_words[v : max(v, w - 1)]])
             place = np.arange(len(found))
             stamp[found] = place
-            yield at + i, found[stamp[found] == place]
-        at += part.num_rows
+            found = found[stamp[found] == place]
+            if waiting and waiting[0] == first + i:
+                waiting = (first + i, np.union1d(waiting[1], found))
+                continue
+            if waiting:
+                yield waiting
+            waiting = (first + i, found)
+    if waiting:
+        yield waiting
 
 
 def _descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
@@ -134,12 +141,13 @@ def margins(model: QualityModel, batch: pa.RecordBatch, text: str = "text") -> n
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000) -> DataFrame:
-    """(text, label) of at most ``per_class`` labelled documents of each class."""
+    """(doc_id, text, label) of at most ``per_class`` labelled documents of each class, one row each."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")
     parts = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     # 2 * per_class ids at most, so a broadcast is safe at any size of the corpus
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "label")
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id").where(F.col("text").isNotNull())
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> QualityModel | None:

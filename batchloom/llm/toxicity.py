@@ -2,28 +2,27 @@
 
 Voters, each a lexicon or a pattern, say toxic, clean or nothing of a document. A
 generative label model explains their votes by a hidden label: each voter has
-an accuracy and a coverage of its own, and pairs of voters that agree more than
-their accuracies explain get a common factor, so that copies of one opinion
-don't count twice. Expectation-maximisation fits it to the counts of vote patterns
+an accuracy and a coverage of its own, and voters that agree more than
+their accuracies explain hang together in a tree, in which each depends on the one above it beside the label: however many
+voters repeat one opinion, it counts once. Expectation-maximisation fits it to the counts of vote patterns
 over all documents, of which there are a few hundred at most, so the driver gets
 counts and no documents. Where a table of labels is given, two voters more use a lexicon
 induced from all labelled documents: words
 of several unlike toxic documents that clean ones lack. That reaches languages
-that no lexicon here covers. A linear classifier is then trained on the posterior labels
-of a bounded sample (``sample_docs``, by hash, half of them likely toxic), and
-scores every document whole.
+that no lexicon here covers. A linear classifier over words and votes is then trained on the posterior labels
+of a bounded sample (``sample_docs`` distinct documents, by hash, half of them likely toxic), and
+scores every document whole. Labels reach neither the label model nor the classifier but through that lexicon.
 
-Two passes over all texts: one for votes (a narrow scan and one small
-aggregate) and one for scores. The training sample is picked by hash before its
-texts leave the JVM. With labels, texts are shuffled once by id to meet them.
+A document is toxic if the classifier's log odds are above ``threshold``.
 
-A document is toxic if the classifier's and the label model's log odds, in equal
-parts, are above ``threshold``: the classifier generalises, the votes anchor.
+Passes over the texts: one for the words of labelled documents (with labels), one for the votes, of which
+only counts by pattern are kept, one that reads the sample, chosen by hash before its
+texts leave the JVM, and one for scores. With labels, texts are shuffled once by id to meet them.
 
 Defined cases: null and blank texts get no votes; they score null and aren't
 toxic. If no voter ever says toxic, or all documents are alike, there is no
-classifier and the posterior alone decides. Rows are judged one by one; labels
-aren't used. Extra columns aren't read.
+classifier and the posterior alone decides. Rows are judged one by one; repeated rows count as often in the
+patterns and once in the sample. A document labelled both ways counts as toxic, labels other than 0 and 1 are ignored. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,7 +36,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.textarrays import U64, _cache, flat, mix, sliced, word_hashes, words
+from batchloom.llm.shared import cut
+from batchloom.llm.textarrays import SLICE_BYTES, U64, _cache, _cuts, flat, sliced, word_hashes, words
 
 LEXICONS: dict[str, tuple[str, ...]] = {
     "insults": ("idiot", "moron", "loser", "clown", "imbecile", "dumbass"),
@@ -51,97 +51,101 @@ LEXICONS: dict[str, tuple[str, ...]] = {
 #: Voters by their numbers: the lexicons, the induced one (any hit, several hits), then density (one hit in fifty words or fewer), address ("you" beside a hit), and the one that says clean where nothing was hit, or just one induced word, which is the weakest sign.
 VOTERS = (*LEXICONS, "induced", "induced_several", "dense", "addressed", "few_hits")
 FEATURES = 1 << 18
+WEIGHTS = FEATURES + 2 * len(VOTERS)
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """log P(vote | label) of each voter and of each correlated pair, and the prior log odds."""
+    """log P(vote | label) of each voter, log P(vote | vote above it, label) of each pair of the trees, and the prior log odds."""
 
-    pairs: tuple[tuple[int, int], ...]
+    pairs: tuple[tuple[int, int], ...]  # (above, below); a voter is below one other at most
     single: np.ndarray  # voter, label, vote
-    joint: np.ndarray  # pair, label, 9 votes
+    joint: np.ndarray  # pair, label, vote above, vote below
     prior: float
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
         """Of the label toxic, for rows of votes (0 nothing, 1 clean, 2 toxic)."""
-        paired = {v for p in self.pairs for v in p}
+        below = {b for _, b in self.pairs}
         out = np.full(len(votes), self.prior)
         for v in range(votes.shape[1]):
-            if v not in paired:
+            if v not in below:
                 out += self.single[v, 1, votes[:, v]] - self.single[v, 0, votes[:, v]]
         for k, (a, b) in enumerate(self.pairs):
-            cell = votes[:, a] * 3 + votes[:, b]
-            out += self.joint[k, 1, cell] - self.joint[k, 0, cell]
+            out += self.joint[k, 1, votes[:, a], votes[:, b]] - self.joint[k, 0, votes[:, a], votes[:, b]]
         return out
 
 
+def fit_tables(votes: np.ndarray, counts: np.ndarray, q: np.ndarray, pairs: tuple, prior: float) -> LabelModel:
+    """The tables that explain the patterns best if each is toxic with probability ``q``; half a document more in every cell."""
+    weight = np.stack([counts * (1 - q), counts * q])
+    single = np.array([[np.bincount(votes[:, v], weight[y], 3) for y in (0, 1)] for v in range(votes.shape[1])])
+    joint = np.array([[np.bincount(votes[:, a] * 3 + votes[:, b], weight[y], 9).reshape(3, 3) for y in (0, 1)] for a, b in pairs]).reshape(-1, 2, 3, 3)
+    norm = lambda x: np.log((x + 0.5) / (x + 0.5).sum(axis=-1, keepdims=True))
+    share = np.clip((weight[1].sum() + 1) / (counts.sum() + 1 / prior), 1e-4, 0.9)
+    return LabelModel(pairs, norm(single), norm(joint), float(np.log(share / (1 - share))))
+
+
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.1, excess: float = 0.1, rounds: int = 60) -> LabelModel:
     """The model of the given vote patterns and their counts.
 
-    Pairs whose agreement, label known, exceeds independence by ``excess`` in
-    mutual information (bits) are joined, the strongest first and each voter once
-    at most: once under the labels of a majority vote and once more
-    under those of the first fit. A voter starts as better than chance, which
+    Voters whose agreement, label known, exceeds independence by ``excess`` in
+    mutual information (bits) are tied by a spanning forest of the strongest ties: once under the labels of a
+    majority vote and anew under those of the first fit. A voter starts as better than chance, which
     decides what label is which.
     """
-    n_voters = votes.shape[1]
     # posterior of each pattern, from a majority of the votes
     balance = (votes == 2).sum(axis=1) - (votes == 1).sum(axis=1)
     q = np.where(balance > 0, 0.9, 0.02)
-
-    def tables(q: np.ndarray, pairs: tuple) -> LabelModel:
-        weight = np.stack([counts * (1 - q), counts * q])
-        single = np.empty((n_voters, 2, 3))
-        for v in range(n_voters):
-            for y in (0, 1):
-                single[v, y] = np.bincount(votes[:, v], weight[y], 3)
-        joint = np.empty((len(pairs), 2, 9))
-        for k, (a, b) in enumerate(pairs):
-            for y in (0, 1):
-                joint[k, y] = np.bincount(votes[:, a] * 3 + votes[:, b], weight[y], 9)
-        norm = lambda x: np.log((x + 0.5) / (x + 0.5).sum(axis=-1, keepdims=True))
-        share = np.clip((weight[1].sum() + 1) / (counts.sum() + 1 / prior), 1e-4, 0.9)
-        return LabelModel(pairs, norm(single), norm(joint), float(np.log(share / (1 - share))))
-
-    def run(q: np.ndarray, pairs: tuple) -> tuple[LabelModel, np.ndarray]:
+    for _ in range(2):  # before any fit too: copies of one voter would pull it over to their side
+        pairs = forest(votes, counts, q, excess)
         for _ in range(rounds):
-            model = tables(q, pairs)
-            new = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -40, 40)))
-            if np.abs(new - q).max(initial=0) < 1e-6:
-                break
+            new = 1 / (1 + np.exp(-np.clip(fit_tables(votes, counts, q, pairs, prior).log_odds(votes), -40, 40)))
+            done = np.abs(new - q).max(initial=0) < 1e-6
             q = new
-        return model, q
-
-    used: set[int] = set()
+            if done:
+                break
+    return fit_tables(votes, counts, q, pairs, prior)
+
+
+def forest(votes: np.ndarray, counts: np.ndarray, q: np.ndarray, excess: float) -> tuple[tuple[int, int], ...]:
+    """(above, below) of a spanning forest of the strongest ties beyond ``excess``; the least voter of a tree is on top."""
+    n = votes.shape[1]
+    ties = sorted(((_information(votes[:, a], votes[:, b], counts, q), a, b) for a in range(n) for b in range(a + 1, n)), reverse=True)
+    tree = list(range(n))
+    near: list[list[int]] = [[] for _ in range(n)]
+    for strength, a, b in ties:
+        if strength > excess and tree[a] != tree[b]:
+            near[a].append(b)
+            near[b].append(a)
+            tree = [tree[a] if t == tree[b] else t for t in tree]
     pairs: list[tuple[int, int]] = []
-
-    def join(q: np.ndarray) -> None:
-        rest = [v for v in range(n_voters) if v not in used]
-        found = [(_information(votes[:, a], votes[:, b], counts, q), a, b) for i, a in enumerate(rest) for b in rest[i + 1 :]]
-        for strength, a, b in sorted(found, reverse=True):
-            if strength > excess and not {a, b} & used:
-                pairs.append((a, b))
-                used.update((a, b))
-
-    join(q)  # before any fit: two copies of one voter would pull it over to their side
-    _, q = run(q, tuple(pairs))
-    join(q)
-    return run(q, tuple(pairs))[0]
+    seen: set[int] = set()
+    for top in range(n):
+        waiting = [] if top in seen else [top]
+        seen.add(top)
+        while waiting:
+            a = waiting.pop(0)
+            for b in sorted(near[a]):
+                if b not in seen:
+                    seen.add(b)
+                    pairs.append((a, b))
+                    waiting.append(b)
+    return tuple(pairs)
 
 
 def _information(a: np.ndarray, b: np.ndarray, counts: np.ndarray, q: np.ndarray) -> float:
-    """Mutual information of two voters given the label, in bits."""
-    total = 0.0
+    """Mutual information of two voters under the label that ties them more, in bits; a label of few documents tells little."""
+    most = 0.0
     for weight in (counts * (1 - q), counts * q):
-        if weight.sum() <= 0:
-            continue
         p = np.bincount(a * 3 + b, weight, 9).reshape(3, 3)
-        share = p.sum() / counts.sum()
-        p = p / p.sum()
+        n = p.sum()
+        if n <= 0:
+            continue
+        p = p / n
         expected = p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)
         some = p > 0
-        total += share * float((p[some] * np.log2(p[some] / expected[some])).sum())
-    return total
+        most = max(most, float((p[some] * np.log2(p[some] / expected[some])).sum()) * n / (n + 50))
+    return most
 
 
 def _lexicon() -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +174,13 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sign = np.ones(256, bool)
     sign[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
     table[sign] = 32
+    if part.num_rows == 1 and len(data) > 2 * SLICE_BYTES:  # a long text, in pieces
+        found = [np.zeros(0, U64)]
+        for low, high, _ in _cuts(data, 0, SLICE_BYTES):
+            piece = table[data[low:high]]
+            found.append(word_hashes(piece, *words(piece, np.array([0, len(piece)]))[:2]))
+        hashes = np.concatenate(found)
+        return hashes, np.zeros(len(hashes), np.int64), np.array([len(hashes)])
     starts, ends, word_off = words(table[data], off)
     counts = np.diff(word_off)
     return word_hashes(table[data], starts, ends), np.repeat(np.arange(len(counts)), counts), counts
@@ -242,12 +253,14 @@ def induce(docs: DataFrame, labels: DataFrame, *, support: int = 4, ratio: float
     return np.sort(good.select("word").toArrow().column("word").to_numpy().view(U64))
 
 
-def _features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of every distinct word of each row."""
+def _features(part: pa.RecordBatch, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of every distinct word and every vote of each row."""
     hashes, row, _ = _tokens(part)
     feature = (hashes >> U64(46)).astype(np.int64)
-    cell = np.unique(row * FEATURES + feature)
-    return cell // FEATURES, cell % FEATURES
+    voted, voter = np.nonzero(votes)
+    row, feature = np.append(row, voted), np.append(feature, FEATURES + voter * 2 + votes[voted, voter] - 1)
+    cell = np.unique(row * WEIGHTS + feature)
+    return cell // WEIGHTS, cell % WEIGHTS
 
 
 def train_classifier(row: np.ndarray, feature: np.ndarray, target: np.ndarray, *, epochs: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -263,7 +276,7 @@ def train_classifier(row: np.ndarray, feature: np.ndarray, target: np.ndarray, *
         step = rate * gradient / np.sqrt(squares)
         w -= step[:-1]
         bias -= step[-1]
-    out = np.zeros(FEATURES, np.float32)
+    out = np.zeros(WEIGHTS, np.float32)
     out[used] = w
     return out, float(bias)
 
@@ -277,51 +290,63 @@ def _votes(code: np.ndarray) -> np.ndarray:
 
 
 def voted(docs: DataFrame, induced: np.ndarray) -> DataFrame:
-    """(doc_id, text, votes) of every row that isn't blank, the votes as one number."""
+    """(chance, doc_id, text, votes) of every row that isn't blank, the votes as one number; chance is a hash of the row below 1 << 30."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_code(cast_votes(part, induced)))], ["doc_id", "text", "votes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_code(cast_votes(part, induced)))], ["chance", "doc_id", "text", "votes"])
+
+    doc_id = F.col("doc_id").cast("bigint")
+    chance = F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(0)), F.xxhash64("text")), F.lit(1 << 30))
+    mine = docs.where(F.col("text").isNotNull()).select(chance.alias("chance"), doc_id.alias("doc_id"), "text")
+    return mine.mapInArrow(vote, "chance bigint, doc_id bigint, text string, votes bigint").where("votes > 0")
+
+
+def sample(docs: DataFrame, induced: np.ndarray, likely: list[int], n_likely: float, n_rest: float, most: int) -> DataFrame:
+    """(text, votes, chance) of at most ``most`` distinct documents, half of them of the vote patterns in ``likely``, by the least hash."""
+    half = most // 2
+    # twice as many as wanted by a threshold of the hash, before the votes, so that few texts leave the JVM; then exactly
+    upto = lambda n: F.lit(int(min(1.0, (2 * half + 50) / max(n, 1)) * (1 << 30)))
+    toxic = F.col("votes").isin(likely)
+    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.xxhash64("text")), F.lit(1 << 30))
+    near = voted(docs.where(chance < F.greatest(upto(n_likely), upto(n_rest))), induced).where(F.col("chance") < F.when(toxic, upto(n_likely)).otherwise(upto(n_rest)))
+    # repeated rows are one; the aggregate combines before its shuffle
+    once = cut(near.groupBy("chance", "votes", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")))
+    parts = [once.where(toxic if k else ~toxic).orderBy("chance", "h").limit(half) for k in (0, 1)]
+    return parts[0].unionAll(parts[1]).select("text", "votes", "chance")
+
+
+def train(docs: DataFrame, induced: np.ndarray, model: LabelModel, votes: np.ndarray, counts: np.ndarray, sample_docs: int) -> tuple[np.ndarray, float] | None:
+    """The classifier, or None where all documents are alike to the label model."""
+    toxic = model.log_odds(votes) > 0
+    if not counts[toxic].sum() or not counts[~toxic].sum():
+        return None
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, feature = _features(batch, _votes(batch.column("votes").to_numpy()))
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            found = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("chance"), batch.column("votes"), pa.array(found, pa.binary())], ["chance", "votes", "found"])
 
-    mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    return mine.mapInArrow(vote, "doc_id bigint, text string, votes bigint").where("votes > 0")
+    chosen = sample(docs, induced, [int(x) for x in _code(votes[toxic])], counts[toxic].sum(), counts[~toxic].sum(), sample_docs)
+    got = chosen.mapInArrow(extract, "chance bigint, votes bigint, found binary").toArrow().sort_by([("chance", "ascending"), ("votes", "ascending"), ("found", "ascending")])
+    found = [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()]
+    if not found:
+        return None
+    target = 1 / (1 + np.exp(-np.clip(model.log_odds(_votes(got.column("votes").to_numpy())), -30, 30)))
+    return train_classifier(np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found).astype(np.int64), target)
 
 
 def judge(docs: DataFrame, labels: DataFrame | None = None, *, sample_docs: int = 4000, threshold: float = 0.0) -> DataFrame:
     """(doc_id, posterior, score, toxic): the label model's probability, the classifier's, and the verdict on every row."""
-    spark = docs.sparkSession
     induced = induce(docs, labels) if labels is not None else np.zeros(0, U64)
     patterns = voted(docs, induced).groupBy("votes").count().orderBy("votes").toArrow()
     votes, counts = _votes(patterns.column("votes").to_numpy()), patterns.column("count").to_numpy().astype(float)
     model = fit_label_model(votes, counts) if len(votes) else None
-    classifier = None
-    if model is not None:
-        odds = model.log_odds(votes)
-        likely = patterns.column("votes").to_numpy()[odds > 0]
-        toxic = F.col("votes").isin([int(x) for x in likely])
-        n_toxic, n_clean = counts[odds > 0].sum(), counts[odds <= 0].sum()
-        if n_toxic and n_clean:
-            half = sample_docs // 2
-            # chosen by a threshold of the hash, so that no sort or limit is needed; the bound holds within chance
-            pick = lambda n: int(min(1.0, half / n) * (1 << 30))
-            chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.xxhash64("text")), F.lit(1 << 30))
-            likely_docs = docs.where(chance < max(pick(n_toxic), pick(n_clean)))  # before the votes, so that few texts leave the JVM
-            chosen = voted(likely_docs, induced).where(chance < F.when(toxic, F.lit(pick(n_toxic))).otherwise(F.lit(pick(n_clean))))
-
-            def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    row, feature = _features(batch)
-                    edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                    found = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:])]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("votes"), pa.array(found, pa.binary())], ["doc_id", "votes", "found"])
-
-            got = chosen.mapInArrow(extract, "doc_id bigint, votes bigint, found binary").toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending"), ("found", "ascending")])
-            found = [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()]
-            target = 1 / (1 + np.exp(-np.clip(model.log_odds(_votes(got.column("votes").to_numpy())), -30, 30)))
-            if len(found):
-                classifier = train_classifier(np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found).astype(np.int64), target)
-    shared = spark.sparkContext.broadcast((model, classifier, induced))
+    classifier = train(docs, induced, model, votes, counts, sample_docs) if model is not None else None
+    shared = docs.sparkSession.sparkContext.broadcast((model, classifier, induced))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, classifier, induced = shared.value
@@ -332,10 +357,9 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, *, sample_docs: int
                 odds = model.log_odds(found) if model is not None else np.zeros(part.num_rows)
                 margin = odds
                 if classifier is not None:
-                    row, feature = _features(part)
+                    row, feature = _features(part, found)
                     margin = np.bincount(row, classifier[0][feature], part.num_rows) + classifier[1]
-                total = (np.clip(odds, -10, 10) + np.clip(margin, -10, 10)) / 2
                 sigmoid = [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))), mask=blank) for x in (odds, margin)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *sigmoid, pa.array((total > threshold) & ~blank)], ["doc_id", "posterior", "score", "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *sigmoid, pa.array((margin > threshold) & ~blank)], ["doc_id", "posterior", "score", "toxic"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, posterior double, score double, toxic boolean")

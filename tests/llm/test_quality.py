@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
-from batchloom.llm import quality
+from batchloom.llm import quality, textarrays
 from pyspark.sql import functions as F
 
 from tests.llm.common import AWKWARD, documents, empty, prose
@@ -89,3 +90,64 @@ def test_awkward_rows(spark):
     assert quality.keep_good(empty(spark), none).count() == 0 and quality.train(empty(spark), labels) is None
     twice = spark.createDataFrame([(7, "a b"), (7, "a b"), (None, "c")], "doc_id bigint, text string")
     assert quality.score(twice, model).count() == 3
+
+
+def plain_hash(word: bytes) -> int:
+    total = sum((b + 1) * pow(textarrays.WORD_BASE, i, 2**64) for i, b in enumerate(word)) + len(word)
+    return plain_mix(total % 2**64)
+
+
+def plain_mix(x: int) -> int:
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return x ^ x >> 32
+
+
+def plain_features(text: str) -> set:
+    raw = text.encode()
+    out = {raw[i] * 256 + raw[i + 1] for i in range(len(raw) - 1)}
+    out |= {(((raw[i] * 256 + raw[i + 1]) * 256 + raw[i + 2]) * 0x9E3779B1 >> 13 & 0xFFFF) + 0x10000 for i in range(len(raw) - 2)}
+    ws = [w for w in re.split(b"[ \t\n\v\f\r]+", raw) if w]
+    shapes = []
+    for k, w in enumerate(ws):
+        upper = sum(65 <= b <= 90 for b in w)
+        lower = sum(97 <= b <= 122 or b >= 128 for b in w)
+        digit = sum(48 <= b <= 57 for b in w)
+        size = sum(len(w) >= n for n in (2, 4, 7, 11, 16, 30))
+        shapes.append((k > 0 and ws[k - 1] == w) * 128 + (65 <= w[0] <= 90) * 64 + (upper > 1 and not lower) * 32 + min(3, len(w) - upper - lower - digit) * 8 + size)
+    out |= {a * 256 + b + 0x20000 for a, b in zip(shapes, shapes[1:])}
+    out |= {(((a * 256 + b) * 256 + c) * 0x85EBCA6B >> 11 & 0xFFFF) + 0x30000 for a, b, c in zip(shapes, shapes[1:], shapes[2:])}
+    hashes = [plain_hash(w) for w in ws]
+    out |= {(h >> 47) + 0x40000 for h in hashes}
+    return out | {(plain_mix((a * 3 + b) % 2**64) >> 47) + 0x60000 for a, b in zip(hashes, hashes[1:])}
+
+
+TEXTS = ["", "a", "One TWO two 3.5 %%% two two", "é日本 x\ty\n\nz", "AB CD AB " * 20, "w" * 40 + " tail"]
+
+
+def test_features_and_margins_equal_plain_ones():
+    batch = pa.record_batch({"text": [*TEXTS, None]})
+    got = dict(quality.features(batch))
+    for i, t in enumerate([*TEXTS, ""]):
+        assert set(got[i].tolist()) == plain_features(t), t
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(rng.normal(size=quality.FEATURES), rng.normal(size=quality.FEATURES), 0.25, 1, 1)
+    for margin, t in zip(quality.margins(model, batch), [*TEXTS, ""]):
+        mine = sorted(plain_features(t))
+        norm = sum(model.ratios[x] ** 2 for x in mine) ** 0.5
+        assert np.isclose(margin, sum(model.weights[x] * model.ratios[x] for x in mine) / max(norm, 1e-6) + 0.25)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["a", "Bc", "DEF", "1,2", "é" * 9, "\n"]) for _ in range(500))
+    monkeypatch.setattr(quality, "SLICE_BYTES", 60)
+    got = dict(quality.features(pa.record_batch({"text": ["x y", text, None, "z"]})))
+    assert sorted(got) == [0, 1, 2, 3] and set(got[1].tolist()) == plain_features(text) and len(got[1]) == len(plain_features(text))
+
+
+def test_repeated_rows_stay_within_the_bound(spark):
+    docs = spark.createDataFrame([(1, "good text")] * 3000 + [(1, "other")] * 10 + [(2, "bad"), (3, "worse")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    rows = quality.training_rows(docs, labels, per_class=1).collect()
+    assert len(rows) == 2 and {(r.doc_id, r.text) for r in rows} >= {(1, "good text")}
