@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.shared import cut
+from batchloom.llm.shared import cut, scratch
 from batchloom.llm.textarrays import SLICE_BYTES, U64, flat, mix, pieces, sliced, word_hashes, words
 
 BANDS, ROWS_PER_BAND, THRESHOLD = 40, 4, 0.5
@@ -317,18 +317,19 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, group_id) of every document with an edge; group_id is the least doc_id of the component."""
     stars, before = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
-    while True:
-        both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        linked = large.join(_least(large), "u")
-        small = linked.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        stars = cut(small)
-        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    groups = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
-    return groups.unionAll(groups.select("group_id").distinct().select(F.col("group_id").alias("doc_id"), "group_id"))
+    with scratch(edges.sparkSession):
+        while True:
+            both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+            linked = large.join(_least(large), "u")
+            small = linked.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+            stars = cut(small)
+            state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if state == before:
+                break
+            before = state
+        groups = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
+        return cut(groups.unionAll(groups.select("group_id").distinct().select(F.col("group_id").alias("doc_id"), "group_id")), keep=True)
 
 
 def _crossing(keys: DataFrame, known: DataFrame) -> DataFrame:
@@ -340,47 +341,48 @@ def _crossing(keys: DataFrame, known: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
     """(doc_id, group_id, is_kept) of the documents that have a near-duplicate; the least doc_id of a group is kept."""
-    made = cut(signed(docs, bands, rows_per_band))
-    slim = made.select("doc_id", "h1", "h2").distinct()
-    classes = cut(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), F.any_value("keys").alias("keys")))
-    # copies and those they are copies of; rows of one doc_id with unlike texts tie their classes together
-    copies = cut(slim.join(classes.where("rep <> most").select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct())
-    several = slim.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    tied = slim.join(several.hint("shuffle_hash"), "doc_id", "left_semi").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    # keys that several classes have; the aggregate combines before its shuffle, so that a hot key costs a row a task
-    every = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"))
-    least = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key", "least")
-    keys = cut(every.join(least.hint("shuffle_hash"), "key").distinct())
-    # whoever has candidates; texts are moved this once
-    bags = cut(_bags(docs, keys.select("doc_id").distinct()))
-    stars = cut(keys.where("doc_id <> least").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    edges = cut(verified(bags, best, threshold).unionAll(tied))
-    groups = cut(components(edges))
-    # edges from each key's least document to those that aren't yet in its group
-    a, b = (groups.select(F.col("doc_id").alias(x), F.col("group_id").alias(f"group_{x}")) for x in "ab")
-    own = lambda x: F.coalesce(f"group_{x}", x)
-    left = cut(stars.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(own("a") != own("b")).select("a", "b"))
-    if not left.isEmpty():
-        edges = cut(edges.unionAll(verified(bags, left, threshold)))
-        groups = cut(components(edges))
-    # whatever else has equal keys; pairs of the rounds before have failed already
-    open_keys = cut(_crossing(keys.select("key", "doc_id"), groups))
-    few = open_keys.where(F.col("n") <= FEW)
-    x = few.select("key", F.col("doc_id").alias("a"), F.col("group").alias("group_a"))
-    y = few.select("key", F.col("doc_id").alias("b"), F.col("group").alias("group_b"))
-    rest = x.join(y, "key").where("group_a <> group_b AND a < b").select("a", "b").distinct()
-    rest = cut(rest.join(best, ["a", "b"], "left_anti").join(left, ["a", "b"], "left_anti"))
-    more = cut(_in_blocks(open_keys.where(F.col("n") > FEW), bags, threshold))
-    if not rest.isEmpty():
-        more = more.unionAll(verified(bags, rest, threshold))
-        groups = cut(components(edges.unionAll(more)))
-    elif not more.isEmpty():
-        groups = cut(components(edges.unionAll(more)))
-    # each copy goes where its class goes
-    placed = copies.join(groups.select(F.col("doc_id").alias("rep"), "group_id"), "rep", "left").select("doc_id", F.coalesce("group_id", "rep").alias("group_id"))
-    out = groups.select("doc_id", "group_id").unionAll(placed).distinct()
-    return out.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("is_kept"))
+    with scratch(docs.sparkSession):
+        made = cut(signed(docs, bands, rows_per_band))
+        slim = made.select("doc_id", "h1", "h2").distinct()
+        classes = cut(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), F.any_value("keys").alias("keys")))
+        # copies and those they are copies of; rows of one doc_id with unlike texts tie their classes together
+        copies = cut(slim.join(classes.where("rep <> most").select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct())
+        several = slim.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        tied = slim.join(several.hint("shuffle_hash"), "doc_id", "left_semi").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        # keys that several classes have; the aggregate combines before its shuffle, so that a hot key costs a row a task
+        every = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"))
+        least = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("key", "least")
+        keys = cut(every.join(least.hint("shuffle_hash"), "key").distinct())
+        # whoever has candidates; texts are moved this once
+        bags = cut(_bags(docs, keys.select("doc_id").distinct()))
+        stars = cut(keys.where("doc_id <> least").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")))
+        best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+        edges = cut(verified(bags, best, threshold).unionAll(tied))
+        groups = components(edges)
+        # edges from each key's least document to those that aren't yet in its group
+        a, b = (groups.select(F.col("doc_id").alias(x), F.col("group_id").alias(f"group_{x}")) for x in "ab")
+        own = lambda x: F.coalesce(f"group_{x}", x)
+        left = cut(stars.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(own("a") != own("b")).select("a", "b"))
+        if not left.isEmpty():
+            edges = cut(edges.unionAll(verified(bags, left, threshold)))
+            groups = components(edges)
+        # whatever else has equal keys; pairs of the rounds before have failed already
+        open_keys = cut(_crossing(keys.select("key", "doc_id"), groups))
+        few = open_keys.where(F.col("n") <= FEW)
+        x = few.select("key", F.col("doc_id").alias("a"), F.col("group").alias("group_a"))
+        y = few.select("key", F.col("doc_id").alias("b"), F.col("group").alias("group_b"))
+        rest = x.join(y, "key").where("group_a <> group_b AND a < b").select("a", "b").distinct()
+        rest = cut(rest.join(best, ["a", "b"], "left_anti").join(left, ["a", "b"], "left_anti"))
+        more = cut(_in_blocks(open_keys.where(F.col("n") > FEW), bags, threshold))
+        if not rest.isEmpty():
+            more = more.unionAll(verified(bags, rest, threshold))
+            groups = components(edges.unionAll(more))
+        elif not more.isEmpty():
+            groups = components(edges.unionAll(more))
+        # each copy goes where its class goes
+        placed = copies.join(groups.select(F.col("doc_id").alias("rep"), "group_id"), "rep", "left").select("doc_id", F.coalesce("group_id", "rep").alias("group_id"))
+        out = groups.select("doc_id", "group_id").unionAll(placed).distinct()
+        return cut(out.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("is_kept")), keep=True)
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -14,13 +14,13 @@ without conflict is found: the tightest one. Rooms where every bin has the
 source are skipped by count. Only ids, lengths and hashes are shuffled, never texts.
 
 A cluster is the set of documents whose words are equal but for the case, or a
-cluster column. Pieces of one document are of one cluster.
+cluster column; near copies of unlike words are of one cluster only by such a column (the pipeline has removed them by then). Pieces of one document are of one cluster.
 
 Defined cases: documents without words, and those of null text, have length 0
 and go to no bin: bin_id is null and so is piece. A null source is a source of
 its own; a null cluster conflicts with none. Rows without a doc_id are packed
 too. Repeated rows are packed one by one, in different bins as they share a
-cluster. Ties go to the bin opened first. Extra columns aren't read.
+cluster, and lie in shards by their number among their like. Ties go to the bin opened first. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -138,10 +138,12 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, shard_docs: int
     same = F.xxhash64(F.lower(F.trim(F.regexp_replace(text, SPACE, " ")))) if cluster is None else F.xxhash64(cluster)
     if cluster is not None:
         same = F.when(cluster.isNotNull(), same)
-    doc_id = F.col("doc_id").cast("bigint")
     shards = max(1, ceil(docs.count() / shard_docs))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("n_words"), same.alias("cluster"))
+    # repeated rows are counted before the shuffle and numbered after it, so that however many there are, they are spread
+    each = slim.groupBy(*slim.columns).count().withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("count")))).drop("count")
     # rows of one cluster lie in one shard only by chance; those in different shards can't meet
-    slim = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("n_words"), same.alias("cluster"), F.pmod(F.xxhash64(F.coalesce(doc_id, F.octet_length("text").cast("bigint")), F.lit(17)), F.lit(shards)).cast("int").alias("shard"))
+    slim = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "n_words", "cluster", "nth"), F.lit(shards)).cast("int")).drop("nth")
 
     def one(table: pa.Table) -> pa.Table:
         return _pack_shard(table, capacity)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.shared import cut
+from batchloom.llm.shared import cut, scratch
 from batchloom.llm.textarrays import SLICE_BYTES, U64, _cache, _cuts, flat, sliced, word_hashes, words
 
 LEXICONS: dict[str, tuple[str, ...]] = {
@@ -330,8 +330,9 @@ def train(docs: DataFrame, induced: np.ndarray, model: LabelModel, votes: np.nda
             found = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("chance"), batch.column("votes"), pa.array(found, pa.binary())], ["chance", "votes", "found"])
 
-    chosen = sample(docs, induced, [int(x) for x in _code(votes[toxic])], counts[toxic].sum(), counts[~toxic].sum(), sample_docs)
-    got = chosen.mapInArrow(extract, "chance bigint, votes bigint, found binary").toArrow().sort_by([("chance", "ascending"), ("votes", "ascending"), ("found", "ascending")])
+    with scratch(docs.sparkSession):
+        chosen = sample(docs, induced, [int(x) for x in _code(votes[toxic])], counts[toxic].sum(), counts[~toxic].sum(), sample_docs)
+        got = chosen.mapInArrow(extract, "chance bigint, votes bigint, found binary").toArrow().sort_by([("chance", "ascending"), ("votes", "ascending"), ("found", "ascending")])
     found = [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()]
     if not found:
         return None

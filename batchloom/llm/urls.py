@@ -63,10 +63,11 @@ def term_hits(column, terms: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
 
 def judge_urls(pages: DataFrame, *, strict: Mapping[str, int] = STRICT, soft: Mapping[str, int] = SOFT, distinct_soft: int = 2, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """(id, strict_hits, soft_hits, soft_terms, score, rejected) of every row; score is the sum of the weights of all hits."""
-    weights = {k.lower(): int(v) for k, v in soft.items() if k} | {k.lower(): int(v) for k, v in strict.items() if k}
+    low = lambda term: term.encode().lower().decode()  # noqa: E731  ASCII letters only, as in the URLs
+    weights = {low(k): int(v) for k, v in soft.items() if k} | {low(k): int(v) for k, v in strict.items() if k}
     if len(weights) > MOST_TERMS:
         raise ValueError(f"{len(weights)} terms; at most {MOST_TERMS} travel with a task")
-    terms, hard = tuple(weights), np.array([k in {s.lower() for s in strict} for k in weights], bool)
+    terms, hard = tuple(weights), np.array([k in set(map(low, strict)) for k in weights], bool)
     weight = np.array(list(weights.values()), np.int64)
     mine = pages.select(F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"))
 

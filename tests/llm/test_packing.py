@@ -76,3 +76,24 @@ def test_given_lengths_and_clusters(spark):
 def test_repeated_rows_lie_apart(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "t")], "doc_id bigint, text string, source string")
     assert len({r.bin_id for r in packing.pack_documents(docs).collect()}) == 2
+
+
+def test_documents_equal_brute_force(spark):
+    """All of pack_documents in one shard: lengths, splits, order, sources and clusters, by plain Python."""
+    rng = random.Random(9)
+    texts = [prose(rng, rng.choice([0, 3, 20, 40, 90, 250]), 50) for _ in range(120)] + [None, "a B", "A  b"]
+    sources = [rng.choice(["x", "y", "z", None]) for _ in texts]
+    docs = documents(spark, texts, sources)
+    rows = [(len((t or "").split()), i, s, " ".join((t or "").lower().split())) for i, (t, s) in enumerate(zip(texts, sources)) if (t or "").split()]
+    rows.sort(key=lambda r: (-r[0], r[1]))
+    pieces = sorted(((min(100, n - k * 100), s, c, i, k) for n, i, s, c in rows for k in range(-(-n // 100))), key=lambda p: -p[0])
+    bins, room = brute([p[:3] for p in pieces], 100)
+    got = packing.pack_documents(docs, capacity=100).where("n_words > 0").collect()
+    assert sorted((int(r.bin_id.split("-")[1]), r.doc_id, r.piece, r.n_words, r.room) for r in got) == sorted((b, p[3], p[4], p[0], room[b]) for b, p in zip(bins, pieces))
+
+
+def test_rows_repeated_many_times_are_spread(spark):
+    docs = spark.range(3000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    rows = packing.pack_documents(docs, shard_docs=100).collect()
+    sizes = Counter(r.bin_id.split("-")[0] for r in rows)
+    assert len(rows) == len({r.bin_id for r in rows}) == 3000 and len(sizes) == 30 and max(sizes.values()) < 200

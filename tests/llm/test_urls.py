@@ -44,3 +44,9 @@ def test_limits_and_empty_cases(spark):
     assert urls.judge_urls(pages.withColumn("score", F.lit(1)), strict={"win": 1}, soft={"win": 1}).where("rejected").count() == 2
     with pytest.raises(ValueError):
         urls.judge_urls(pages, strict={f"t{i}": 1 for i in range(urls.MOST_TERMS + 1)})
+
+
+def test_case_of_letters_beyond_ascii(spark):
+    pages = spark.createDataFrame([(1, "/É/"), (2, "/é/"), (3, "/ÉB/"), (4, "/Éb/")], "page_id bigint, url string")
+    got = {r.page_id: r.strict_hits for r in urls.judge_urls(pages, strict={"É": 1, "ÉB": 1}, soft={}).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 1}
