@@ -31,6 +31,11 @@ def length_stats(df: DataFrame, columns: list[str], percentiles: tuple[int, ...]
     return held.groupBy("field").agg(F.max("n").alias("n"), F.min("len").alias("min_len"), F.max("len").alias("max_len"), mean.alias("mean_len"), *ranks)
 
 
+def first_rows(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows with the ``most`` least keys, as a report's sample; all rows where ``most`` isn't above 0."""
+    return df.orderBy(key).limit(most) if most > 0 else df
+
+
 def truncation_impact(df: DataFrame, columns: list[str], most: int) -> DataFrame:
     """(field, n_over, pct_over, tokens_lost) of each column."""
     over = F.count_if(F.col("len") > most)

@@ -6,9 +6,12 @@ one row each: n, real and L (the padded length).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from batchloom.plans.batches import bucket_label
 
@@ -86,18 +89,54 @@ def vram(batches: DataFrame) -> DataFrame:
     return batches.agg(F.sum(size).alias("vram_bytes"), F.avg(size).alias("avg_vram"))
 
 
-def cache_hits(placed: DataFrame, *, slices: int = 4096) -> DataFrame:
-    """(hits, misses, hit_rate) of a cache of one shard read in order of pos: a miss is a change of shard.
+def _recent(before: list[int], shards: list[int], capacity: int) -> list[int]:
+    """The shards that a cache holds after some reads, the latest last."""
+    out: list[int] = []
+    for s in chain(reversed(shards), reversed(before)):
+        if s not in out:
+            out.append(s)
+            if len(out) == capacity:
+                break
+    return out[::-1]
+
+
+def cache_hits(placed: DataFrame, *, capacity: int = 1, slices: int = 4096) -> DataFrame:
+    """(hits, misses, hit_rate) of a cache of the ``capacity`` shards read last, in order of pos.
 
-    Runs of ``slices`` positions are looked at apart; the edges between them are compared after.
+    Runs of ``slices`` positions are looked at apart: first what each leaves in the cache (a row a slice, gone
+    through in order), then its reads against what the slices before have left.
     """
-    held = placed.withColumn("slice", F.floor(F.col("pos") / slices))
-    inside = Window.partitionBy("slice").orderBy("pos")
-    flagged = held.withColumn("before", F.lag("shard").over(inside))
-    each = flagged.groupBy("slice").agg(F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("shard"))).alias("changes"), F.min_by("shard", "pos").alias("low"), F.max_by("shard", "pos").alias("high"), F.count("*").alias("c"))
-    edge = each.withColumn("left", F.lag("high").over(Window.orderBy("slice")))  # one row for each slice
-    misses = F.sum(F.col("changes") + F.when(F.col("left").isNull() | (F.col("left") != F.col("low")), 1).otherwise(0))
-    return edge.agg(F.sum("c").alias("reads"), misses.alias("misses")).select((F.col("reads") - F.col("misses")).alias("hits"), "misses", (100.0 * (F.col("reads") - F.col("misses")) / F.col("reads")).alias("hit_rate"))
+    held = placed.select(F.col("pos").cast("bigint").alias("pos"), F.col("shard").cast("bigint").alias("shard")).withColumn("slice", F.floor(F.col("pos") / slices))
+
+    def leave(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        return pa.table({"slice": table.column("slice")[:1], "left": pa.array([_recent([], table.column("shard").to_pylist(), capacity)], pa.list_(pa.int64()))})
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[int] = []
+        for batch in batches:
+            found = []
+            for left in batch.column("left").to_pylist():
+                found.append(now)
+                now = _recent(now, left, capacity)
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(found, pa.list_(pa.int64()))], ["slice", "found"])
+
+    def count(reads: pa.Table, found: pa.Table) -> pa.Table:
+        cache = dict.fromkeys(found.column("found")[0].as_py())
+        hits = 0
+        for s in reads.sort_by("pos").column("shard").to_pylist():
+            hits += s in cache
+            cache.pop(s, None)
+            cache[s] = None
+            if len(cache) > capacity:
+                del cache[next(iter(cache))]
+        return pa.table({"reads": [reads.num_rows], "hits": [hits]})
+
+    left = held.groupBy("slice").applyInArrow(leave, "slice bigint, left array<bigint>")
+    found = left.coalesce(1).sortWithinPartitions("slice").mapInArrow(carry, "slice bigint, found array<bigint>")
+    each = held.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(count, "reads bigint, hits bigint")
+    reads, hits = F.coalesce(F.sum("reads"), F.lit(0)), F.coalesce(F.sum("hits"), F.lit(0))
+    return each.agg(hits.alias("hits"), (reads - hits).alias("misses"), (100.0 * hits / F.nullif(reads, F.lit(0))).alias("hit_rate"))
 
 
 def sweep_choice(sweep: DataFrame, *, most_padding: float = 35.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from batchloom.plans.ranks import global_rank, order_key
+from batchloom.plans.settle import cut
 
 
 def normalise_advantages(df: DataFrame, column: str = "advantages") -> DataFrame:
@@ -28,7 +29,7 @@ def minibatches(df: DataFrame, key: str, size: int, *, seed: int = 42, epoch: in
 
 
 class RolloutBuffer:
-    """Append until sealed, then read minibatches by epoch; sealing writes nothing and may be cleared."""
+    """Append until sealed, then read minibatches by epoch; sealing writes the rows once, and each epoch its plan."""
 
     def __init__(self, key: str = "row_id", minibatch_size: int = 8, normalize_adv: bool = True):
         self.key, self.minibatch_size, self.normalize_adv = key, minibatch_size, normalize_adv
@@ -37,6 +38,7 @@ class RolloutBuffer:
     def clear(self) -> None:
         self.rows: DataFrame | None = None
         self.is_sealed, self.total_samples, self.epoch, self.cursor = False, 0, 0, 0
+        self._plan: DataFrame | None = None
 
     def push(self, rows: DataFrame) -> None:
         if self.is_sealed:
@@ -49,6 +51,7 @@ class RolloutBuffer:
             raise RuntimeError("the buffer is empty")
         if self.normalize_adv:
             self.rows = normalise_advantages(self.rows)
+        self.rows = cut(self.rows)
         self.is_sealed, self.total_samples = True, total
 
     def num_minibatches(self) -> int:
@@ -57,7 +60,9 @@ class RolloutBuffer:
     def planned(self) -> DataFrame:
         if not self.is_sealed:
             raise RuntimeError("the buffer isn't sealed")
-        return minibatches(self.rows, self.key, self.minibatch_size, epoch=self.epoch)
+        if self._plan is None:  # written by minibatch, so that each reads its own rows
+            self._plan = cut(minibatches(self.rows, self.key, self.minibatch_size, epoch=self.epoch).repartitionByRange("minibatch").sortWithinPartitions("minibatch", "slot"))
+        return self._plan
 
     def next_minibatch(self) -> DataFrame | None:
         if self.cursor >= self.num_minibatches():
@@ -67,7 +72,7 @@ class RolloutBuffer:
 
     def reset_cursor(self) -> None:
         """A new permutation for the next pass."""
-        self.epoch, self.cursor = self.epoch + 1, 0
+        self.epoch, self.cursor, self._plan = self.epoch + 1, 0, None
 
 
 def reward_model_loss(chosen: Column, rejected: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from batchloom.plans.ranks import global_rank, order_key
+from batchloom.plans.ranks import global_rank, order_key, ordered_rank
 
 
 def pair_length(p: Column, r: Column, most: int) -> Column:
@@ -35,9 +35,7 @@ def rank_shards(df: DataFrame, key: str, world_size: int, *, seed: int = 42, epo
     if shuffle:
         placed = global_rank(df, order_key(seed, epoch, F.col(key)), [key])
     else:
-        from batchloom.plans.ranks import dense_index
-
-        placed = dense_index(df, key, name="pos")
+        placed = ordered_rank(df, key)
     # one row, so the broadcast has a fixed size
     total = df.agg(F.count("*").alias("n_rows"))
     sized = placed.join(F.broadcast(total)).withColumn("per_rank", F.ceil(F.col("n_rows") / world_size).cast("bigint"))
@@ -67,8 +65,10 @@ def bucket_label(length: Column, boundaries: tuple[int, ...]) -> Column:
 
 def bucket_batches(df: DataFrame, key: str, batch_size: int, *, by: list[str], seed: int = 42, epoch: int = 0, shuffle: bool = True) -> DataFrame:
     """Rows with batch and slot: each group in a seeded order, cut into runs, the remainder kept."""
-    order = order_key(seed, epoch, F.col(key)) if shuffle else F.lpad(F.hex(F.col(key)), 16, "0")
-    placed = global_rank(df, order, [key], by=by, name="place")
+    if shuffle:
+        placed = global_rank(df, order_key(seed, epoch, F.col(key)), [key], by=by, name="place")
+    else:
+        placed = ordered_rank(df, key, by=by, name="place")
     return placed.withColumn("batch", F.floor(F.col("place") / batch_size).cast("int")).withColumn("slot", (F.col("place") % batch_size).cast("int")).drop("place")
 
 

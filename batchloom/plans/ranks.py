@@ -3,7 +3,7 @@
 An order is that of md5(seed + epoch : key), ties by key: the same for the same
 seed and epoch, another in the next epoch. As the sort key is uniform, its
 leading hex digits cut it into even slices; a row's rank is its place in its
-slice plus the sizes of the slices before.
+slice plus the sizes of the slices before. Orders that aren't even are cut into slices by range.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from batchloom.plans.settle import cut
+
 
 def order_key(seed: int, epoch: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), *[k.cast("string") for k in keys]).cast("binary"))
 
 
-def global_rank(df: DataFrame, order: Column, ties: list[str], *, by: list[str] | None = None, name: str = "pos", digits: int = 2) -> DataFrame:
+def global_rank(df: DataFrame, order: Column, ties: list[str], *, by: list[str] | None = None, name: str = "pos", digits: int = 4) -> DataFrame:
     """``df`` with the place of each row, from 0, in its group's order; ``order`` is hex text that is evenly spread.
 
-    16 ** digits slices a group; the running sums over them are the only
+    16 ** digits slices a group, so that 1e12 rows make slices of 15 million; the running sums over them are the only
     part that isn't spread by slice.
     """
     by = by or []
@@ -35,12 +37,23 @@ def global_rank(df: DataFrame, order: Column, ties: list[str], *, by: list[str]
     return placed.withColumn(name, (F.col("cell_start") + F.col("cell_place")).cast("bigint")).drop("rank_order", "rank_cell", "cell_place", "cell_start", "start_cell")
 
 
-def dense_index(df: DataFrame, key: str, *, name: str = "idx", bin_size: int = 4096) -> DataFrame:
-    """``df`` with the place of each row, from 0, in the order of an integer key without repeats."""
-    held = df.withColumn("index_bin", F.floor(F.col(key) / bin_size))
-    sizes = held.groupBy(F.col("index_bin").alias("start_bin")).agg(F.count("*").alias("bin_rows"))
-    before = Window.orderBy("start_bin").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bin
-    starts = sizes.select("start_bin", F.coalesce(F.sum("bin_rows").over(before), F.lit(0)).alias("bin_start"))
-    local = Window.partitionBy("index_bin").orderBy(key)
-    placed = held.withColumn("bin_place", F.row_number().over(local) - 1).join(starts, F.col("index_bin") == F.col("start_bin"))
-    return placed.withColumn(name, (F.col("bin_start") + F.col("bin_place")).cast("bigint")).drop("index_bin", "start_bin", "bin_start", "bin_place")
+def ordered_rank(df: DataFrame, key: str, *, by: list[str] | None = None, name: str = "pos") -> DataFrame:
+    """``df`` with the place of each row, from 0, in its group's order of ``key``, whatever its values are.
+
+    Rows are written once, parted by ranges of the key: a slice is a partition as it was written, so that
+    sparse, clustered and negative keys make slices as even as dense ones.
+    """
+    by = by or []
+    held = cut(df.repartitionByRange(*by, key).withColumn("rank_slice", F.spark_partition_id()))
+    local = Window.partitionBy("rank_slice", *by).orderBy(key)
+    sizes = held.groupBy(*by, "rank_slice").agg(F.count("*").alias("slice_rows"))
+    before = Window.partitionBy(*by).orderBy("rank_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice and group
+    cell = lambda: F.struct("rank_slice", *by)  # noqa: E731  nulls in a struct are equal
+    starts = sizes.select(cell().alias("start_cell"), F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("slice_start"))
+    placed = held.withColumn("slice_place", F.row_number().over(local) - 1).withColumn("rank_cell", cell()).join(starts, F.col("rank_cell") == F.col("start_cell"))
+    return placed.withColumn(name, (F.col("slice_start") + F.col("slice_place")).cast("bigint")).drop("rank_slice", "rank_cell", "start_cell", "slice_start", "slice_place")
+
+
+def dense_index(df: DataFrame, key: str, *, name: str = "idx") -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of a key."""
+    return ordered_rank(df, key, name=name)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.config import MODES
+from batchloom.config import MODES, LoaderConfig
 from batchloom.functions.text import filled
 from batchloom.operators.extract import ADAPTERS, adapt, extract_pairs
-from batchloom.sources.tokenbin import local
+from batchloom.sources import storage
 
 #: What a mode reads: other columns are pruned from the scan.
 MODE_COLUMNS = {
@@ -56,7 +56,7 @@ def resolve(spark: SparkSession, source: str, split: str = "train") -> DataFrame
     """A JSON lines file or a Parquet path where there is one, or else a registered source."""
     if source.endswith(".jsonl") or source.endswith(".json"):
         return spark.read.json(source)
-    if Path(local(source)).exists():
+    if source not in REGISTRY and ("/" in source or storage.exists(source)) and storage.exists(source):
         return spark.read.parquet(source)
     if source not in REGISTRY:
         raise ValueError(f"{source!r} is no file and no source; there are {', '.join(sorted(REGISTRY)) or 'none'}")
@@ -65,7 +65,7 @@ def resolve(spark: SparkSession, source: str, split: str = "train") -> DataFrame
 
 
 def union_sources(sources: dict[str, DataFrame], *, limits: dict[str, int] | None = None) -> DataFrame:
-    """All sources below each other with their name in ``source``; a limit of n > 0 keeps n rows of a source."""
+    """All sources below each other with their name in ``source``; a limit of n > 0 keeps the first n rows of a source as it is read."""
     if not sources:
         raise ValueError("no source")
     out = None
@@ -90,7 +90,7 @@ def write_shards(df: DataFrame, path: str, *, manifest: dict | None = None) -> N
     df.repartition("shard").sortWithinPartitions("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
     counts = df.groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard").collect()  # one row for each shard
     body = dict(manifest or {}) | {"shards": [{"shard": r.shard, "n_samples": r.n, "dir": f"{path}/shard={r.shard}"} for r in counts]}
-    Path(local(path), "manifest.json").write_text(json.dumps(body))
+    storage.write(f"{path}/manifest.json", json.dumps(body).encode())
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -102,12 +102,23 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*rest, F.explode("shards").alias("s")).select(*rest, F.col("s.shard").cast("int").alias("shard"), F.col("s.n_samples").cast("bigint").alias("n_samples"), F.col("s.dir").alias("dir")).orderBy("shard")
 
 
+SETTINGS = {"max_seq_len": "max_seq_len", "pad_token_id": "pad_id", "eos_token_id": "eos_id", "vocab_size": "vocab_size", "shard_size": "shard_size"}
+
+
+def manifest_settings(path: str, cfg: LoaderConfig) -> LoaderConfig:
+    """``cfg`` with whatever settings the manifest of a sharded table names."""
+    system, at = storage.open_system(f"{path}/manifest.json")
+    with system.open_input_stream(at) as f:
+        said = json.loads(f.read())
+    return replace(cfg, **{ours: int(said[theirs]) for theirs, ours in SETTINGS.items() if said.get(theirs) is not None})
+
+
 def load_samples(spark: SparkSession, path: str, mode: str, *, shard: int | None = None, check: bool = True) -> DataFrame:
     """The mode's columns of a sharded table; one shard is a pruned partition. Counts are held against the manifest."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     held = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-    if check and Path(local(path), "manifest.json").exists():
+    if check and storage.exists(f"{path}/manifest.json"):
         said = {r.shard: r.n_samples for r in read_manifest(spark, f"{path}/manifest.json").collect()}
         found = {r["shard"]: r["count"] for r in held.groupBy("shard").count().collect()}
         if not said:

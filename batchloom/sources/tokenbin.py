@@ -2,29 +2,28 @@
 
 Options: ``format`` sequences (one id list a record), samples (prompt and response),
 lengths, compressed, or sample_lengths (of samples, whose ids are passed over; to read only); ``mode`` FAILFAST (an error where a file is short) or
-PERMISSIVE (what is whole is read). A path is a file, or a folder of ``.bin`` files. One task
+PERMISSIVE (what is whole is read). A path is a file, or a folder of ``.bin`` files, of any scheme that ``storage`` serves. One task
 reads one file, in pieces of bounded size. All numbers are little-endian.
 
-Writing gives one file a task, ``part-<task>-<unique>.bin``; sequences longer than 65535 ids are
-an error. The count at the head of a file is filled in when the task is done, and a
+Writing packs whole Arrow batches. A task writes files of ``FILE_BYTES`` or so, ``part-<task>-<number>-<unique>.bin``, each with its count at its
+head; sequences longer than 65535 ids are an error. A
 failed or repeated task leaves nothing behind, as files appear on commit only.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from batchloom.config import MOST_IDS
+from batchloom.sources import storage
 
 SCHEMAS = {
     "sequences": "file string, seq_idx bigint, ids array<int>",
@@ -40,29 +39,21 @@ WRITTEN = {
     "compressed": ("type", "ids", "patch_size", "embed_dim", "vectors"),
 }
 ROWS = 4096
+FILE_BYTES, READ_BYTES = 64 << 20, 1 << 20
 
 
 class ShortFile(ValueError):
     pass
 
 
-def local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
-
-
 def files(path: str) -> list[str]:
-    at = Path(local(path))
-    if at.is_dir():
-        return sorted(str(p) for p in at.rglob("*.bin") if not p.name.startswith((".", "_")))
-    if not at.exists():
-        raise FileNotFoundError(path)
-    return [str(at)]
+    return storage.listed(path, ".bin")
 
 
 def _read(f, n: int) -> bytes:
     data = f.read(n)
     if len(data) < n:
-        raise ShortFile(f"{f.name} ends within a record")
+        raise ShortFile("a file ends within a record")
     return data
 
 
@@ -70,7 +61,7 @@ def _ids(f) -> list[int]:
     n = struct.unpack("<H", _read(f, 2))[0]
     found = np.frombuffer(_read(f, 4 * n), "<u4")
     if len(found) and found.max() > 0x7FFFFFFF:
-        raise ValueError(f"{f.name} has an id of 2**31 or more")
+        raise ValueError("an id of 2**31 or more")
     return found.astype(np.int32).tolist()
 
 
@@ -86,7 +77,7 @@ def _skip_ids(f) -> int:
     """The length of a sequence, its ids passed over."""
     n = struct.unpack("<H", _read(f, 2))[0]
     if n:
-        f.seek(4 * n - 1, 1)
+        f.seek(f.tell() + 4 * n - 1)
         _read(f, 1)
     return n
 
@@ -100,24 +91,50 @@ READERS = {
 }
 
 
-def _pack_ids(ids: list[int]) -> bytes:
-    if len(ids) > MOST_IDS:
-        raise ValueError(f"{len(ids)} ids; the format holds {MOST_IDS}")
-    return struct.pack("<H", len(ids)) + np.asarray(ids, "<u4").tobytes()
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column as unsigned numbers, and the number of each row's; null lists are empty."""
+    column = column.cast(pa.large_list(pa.int32()))
+    off = column.offsets.to_numpy()
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(off), 0)
+    if len(size) and size.max() > MOST_IDS:
+        raise ValueError(f"{size.max()} ids; the format holds {MOST_IDS}")
+    return column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype("<u4"), size
 
 
-def _pack_compressed(row) -> bytes:
-    if row.type == 0:
-        return b"\0" + _pack_ids(row.ids)
-    return struct.pack("<BHII", 1, len(row.vectors), row.patch_size, row.embed_dim) + np.asarray(row.vectors, "<f4").tobytes()
+def _pack_ids(*columns: pa.Array) -> bytes:
+    """Records of some id lists, each with its number of ids before it; all in 16-bit words."""
+    lists = [_lists(c) for c in columns]
+    width = sum(1 + 2 * size for _, size in lists)
+    at = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), "<u2")
+    for values, size in lists:
+        out[at] = size
+        to = np.repeat(at + 1 - 2 * (np.cumsum(size) - size), size) + 2 * np.arange(len(values))
+        out[to], out[to + 1] = values & 0xFFFF, values >> 16
+        at = at + 1 + 2 * size
+    return out.tobytes()
 
 
-WRITERS = {
-    "sequences": lambda r: _pack_ids(r.ids),
-    "samples": lambda r: _pack_ids(r.prompt_ids) + _pack_ids(r.response_ids),
-    "lengths": lambda r: struct.pack("<HH", r.prompt_len, r.response_len),
-    "compressed": _pack_compressed,
-}
+def _pack_lengths(prompt: pa.Array, response: pa.Array) -> bytes:
+    both = np.stack([c.fill_null(0).to_numpy() for c in (prompt, response)], axis=1)
+    if both.size and (both.min() < 0 or both.max() > MOST_IDS):
+        raise ValueError(f"a length below 0 or above {MOST_IDS}")
+    return both.astype("<u2").tobytes()
+
+
+def _pack_compressed(kind: pa.Array, ids: pa.Array, size: pa.Array, dim: pa.Array, vectors: pa.Array) -> bytes:
+    out = []
+    for i, k in enumerate(kind.to_pylist()):
+        if k == 0:
+            out.append(b"\0" + _pack_ids(ids.slice(i, 1)))
+        else:
+            rows = vectors[i].values
+            flat = rows.flatten().to_numpy(zero_copy_only=False)
+            out.append(struct.pack("<BHII", 1, len(rows), size[i].as_py(), dim[i].as_py()) + flat.astype("<f4").tobytes())
+    return b"".join(out)
+
+
+PACKERS = {"sequences": _pack_ids, "samples": _pack_ids, "lengths": _pack_lengths, "compressed": _pack_compressed}
 
 
 class _File(InputPartition):
@@ -132,14 +149,17 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         return [_File(p) for p in files(self.path)]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without files
+            return
         record = READERS[self.kind]
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(self.schema)], schema=self.schema)
 
-        with Path(partition.value).open("rb") as f:
+        system, _ = storage.open_system(self.path)
+        with system.open_input_file(partition.value) as raw, pa.BufferedInputStream(raw, READ_BYTES) if self.kind != "sample_lengths" else raw as f:
             try:
                 for i in range(struct.unpack("<I", _read(f, 4))[0]):
                     rows.append((partition.value, i, *record(f)))
@@ -155,42 +175,48 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    hidden: str
-    final: str
-    rows: int
+    moves: list[tuple[str, str]]
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, kind: str, overwrite: bool):
-        self.path, self.kind, self.overwrite = local(path), kind, overwrite
+        self.path, self.kind, self.overwrite = path.rstrip("/"), kind, overwrite
 
-    def write(self, rows) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.bin"
-        Path(self.path).mkdir(parents=True, exist_ok=True)
-        hidden, n, pack = f"{self.path}/.{name}", 0, WRITERS[self.kind]
-        with Path(hidden).open("wb") as out:
-            out.write(bytes(4))
-            for row in rows:
-                out.write(pack(row))
-                n += 1
-            out.seek(0)
-            out.write(n.to_bytes(4, "little"))
-        return _Written(hidden, f"{self.path}/{name}", n)
+        task, pack, moves = TaskContext.get().partitionId(), PACKERS[self.kind], []
+        held, size, rows = [], 0, 0
+
+        def out() -> None:
+            name = f"part-{task:05d}-{len(moves):05d}-{uuid.uuid4().hex[:12]}.bin"
+            storage.write(f"{self.path}/.{name}", rows.to_bytes(4, "little") + b"".join(held))
+            moves.append((f"{self.path}/.{name}", f"{self.path}/{name}"))
+
+        for batch in batches:
+            data = pack(*(batch.column(c) for c in WRITTEN[self.kind]))
+            held.append(data)
+            size, rows = size + len(data), rows + batch.num_rows
+            if size > FILE_BYTES:
+                out()
+                held, size, rows = [], 0, 0
+        if rows or not moves:
+            out()
+        return _Written(moves)
 
     def commit(self, messages) -> None:
-        old = files(self.path) if self.overwrite and Path(self.path).is_dir() else []
+        old = files(self.path) if self.overwrite and storage.exists(self.path) else []
         for m in messages:
-            if m is not None:
-                os.replace(m.hidden, m.final)
+            for hidden, final in m.moves if m is not None else []:
+                storage.move(hidden, final)
+        system, _ = storage.open_system(self.path)
         for p in old:
-            Path(p).unlink()
+            system.delete_file(p)
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m is not None:
-                Path(m.hidden).unlink(missing_ok=True)
+            for hidden, _ in m.moves if m is not None else []:
+                storage.delete(hidden)
 
 
 class TokenBin(DataSource):

@@ -72,3 +72,32 @@ def test_throughput(spark):
     table = spark.createDataFrame([(4, 10), (4, 6)], "n int, real int")
     rows = metrics.throughput(table, {"read": 1.0, "collate": 3.0}).collect()
     assert {(r.phase, r.share_pct, r.samples_per_sec, r.tokens_per_sec) for r in rows} == {("read", 25.0, 2.0, 4.0), ("collate", 75.0, 2.0, 4.0)}
+
+
+def made(spark, n=50):
+    return spark.range(n).select(F.col("id").alias("idx"), F.array_repeat(F.lit(7), (F.col("id") % 9 + 1).cast("int")).alias("prompt_ids"), F.array(F.lit(5), F.lit(2)).alias("response_ids"))
+
+
+def test_epochs_differ_and_repeat(spark):
+    cfg = LoaderConfig(batch_size=4)
+    plans = [[tuple(r) for r in loader.plan(made(spark), "sft", loader.with_epoch(cfg, e)).orderBy("step", "slot").collect()] for e in (0, 1, 1)]
+    assert plans[0] != plans[1] == plans[2]
+    assert [tuple(r) for r in loader.plan(made(spark), "sft", cfg, epoch=1).orderBy("step", "slot").collect()] == plans[1]
+
+
+@pytest.mark.parametrize("order", ["sharded", "windowed"])
+@pytest.mark.parametrize("rank", [0, 1])
+def test_shard_orders(spark, order, rank):
+    cfg = LoaderConfig(batch_size=4, shard_size=8, window_size=2, world_size=2)
+    rows = loader.plan(made(spark), "sft", cfg, rank=rank, order=order).orderBy("step", "slot").collect()
+    assert len(rows) == 25 and [r.step for r in rows] == sorted(r.step for r in rows) and {r.step for r in rows} == set(range(max(r.step for r in rows) + 1))
+    shards = [r.idx // 8 for r in rows]
+    width = 1 if order == "sharded" else 2
+    runs = [s for i, s in enumerate(shards) if s not in shards[:i]]
+    for i in range(0, len(runs), width):  # a group of shards is read in one go
+        at = [k for k, s in enumerate(shards) if s in runs[i : i + width]]
+        assert at == list(range(at[0], at[-1] + 1))
+    found = loader.build_sft_dataloader(made(spark), cfg, rank=rank, order=order).orderBy("step").collect()
+    assert sum(len(b.input_ids) for b in found) == 25
+    with pytest.raises(ValueError):
+        loader.plan(made(spark), "sft", cfg, order="other")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -152,3 +153,44 @@ def test_percentiles_and_histogram(spark):
     assert lengths.long_ratio(df, F.col("len"), 9).first().strategy == "TRUNCATE"
     assert lengths.long_ratio(df, F.col("len"), 9, force="COMPRESS").first().strategy == "COMPRESS"
     assert lengths.long_ratio(df.limit(0), F.col("len"), 9).first().ratio == 0
+
+
+@pytest.mark.parametrize("keys", [[0, 1, 2], [10**15 * (i * 37 % 101 - 50) for i in range(101)], [i * i for i in range(300)], []])
+def test_ordered_rank_of_any_keys(spark, keys):
+    df = spark.createDataFrame([(k, k % 3 if k % 5 else None) for k in keys], "k bigint, g bigint").repartition(7)
+    assert [r.k for r in ranks.dense_index(df, "k").orderBy("idx").collect()] == sorted(keys)
+    by = ranks.ordered_rank(df, "k", by=["g"], name="pos").collect()
+    for g in {r.g for r in by}:
+        mine = sorted((r.pos, r.k) for r in by if r.g == g)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [k for _, k in mine] == sorted(r.k for r in by if r.g == g)
+
+
+def test_slices_are_even(spark):
+    """Rows of a slice: by hash of 1e5 rows, and by range of keys of which none has a leading hex digit."""
+    df = spark.range(100_000).select((F.col("id") * 3).alias("k"))
+    hashed = df.select(F.substring(ranks.order_key(1, 0, F.col("k")), 1, 4).alias("s")).groupBy("s").count()
+    assert hashed.agg(F.max("count")).first()[0] < 20
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = df.repartitionByRange("k").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 40_000
+    placed = batches.bucket_batches(df.withColumn("bucket", F.lit(0)), "k", 10, by=["bucket"], shuffle=False)
+    assert placed.where("batch * 10 + slot <> k / 3").count() == 0
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 5])
+@pytest.mark.parametrize("slices", [3, 50, 4096])
+def test_cache_of_the_shards_read_last(spark, capacity, slices):
+    rng = random.Random(capacity)
+    reads = [rng.randrange(8) for _ in range(200)]
+    cache, hits = [], 0
+    for s in reads:
+        hits += s in cache
+        cache = [x for x in cache if x != s] + [s]
+        cache = cache[-capacity:]
+    placed = spark.createDataFrame(list(enumerate(reads)), "pos bigint, shard int")
+    row = metrics.cache_hits(placed, capacity=capacity, slices=slices).first()
+    assert (row.hits, row.misses, row.hit_rate) == (hits, 200 - hits, pytest.approx(hits / 2))
+    assert tuple(metrics.cache_hits(placed.limit(0)).first()) == (0, 0, None)

@@ -3,6 +3,8 @@ from __future__ import annotations
 import struct
 
 import pytest
+from batchloom.config import LoaderConfig
+from batchloom.prepare import prepare, prepare_sources
 from batchloom.sources import records, tokenbin
 from batchloom.streaming import merge
 from pyspark.sql import functions as F
@@ -136,3 +138,63 @@ def test_shuffled_rows(spark):
     order = [r.id for r in merge.shuffle_rows(spark.range(50), "id").collect()]
     assert sorted(order) == list(range(50)) and order != sorted(order)
     assert order == [r.id for r in merge.shuffle_rows(spark.range(50).repartition(3), "id").collect()]
+
+
+def test_other_schemes_are_served_or_refused(spark, tmp_path):
+    made = spark.createDataFrame([([1, 2],), ([],), (None,)], "ids array<int>")
+    for at in (f"file://{tmp_path}/a", f"file:{tmp_path}/b", f"{tmp_path}/c"):
+        made.write.format("tokenbin").option("format", "sequences").mode("append").save(at)
+        assert sorted(r.ids for r in read(spark, at, format="sequences").collect()) == [[], [], [1, 2]]
+    with pytest.raises(Exception, match="[Uu]nrecognized|unknown|nowhere"):
+        made.write.format("tokenbin").option("format", "sequences").mode("append").save("nowhere://x/y")
+    assert not (tmp_path / "nowhere:").exists()
+
+
+def test_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    rows = [([i] * 50, [i]) for i in range(500)]
+    df = spark.createDataFrame(rows, "prompt_ids array<int>, response_ids array<int>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        writer = tokenbin._Writer(str(tmp_path), "samples", False)
+        monkeypatch.setattr(tokenbin, "FILE_BYTES", 20_000)
+        monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+        done = writer.write(iter(df.toArrow().to_batches(max_chunksize=50)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(done.moves) > 3 and not read(spark, tmp_path, format="samples").count()
+    writer.commit([done])
+    got = read(spark, tmp_path, format="samples").collect()
+    assert sorted((r.prompt_ids, r.response_ids) for r in got) == sorted(rows)
+
+
+def test_manifest_settings(spark, tmp_path):
+    df = spark.range(5).select(F.col("id").alias("idx"), F.array(F.lit(1)).alias("prompt_ids"), F.array(F.lit(2)).alias("response_ids"))
+    records.write_shards(records.with_shard(df, 2), f"file://{tmp_path}/s", manifest={"max_seq_len": 77, "pad_token_id": 9, "note": "x"})
+    cfg = records.manifest_settings(f"file://{tmp_path}/s", LoaderConfig(batch_size=3))
+    assert (cfg.max_seq_len, cfg.pad_id, cfg.batch_size, cfg.eos_id) == (77, 9, 3, 2)
+    (tmp_path / "s" / "shard=1").rename(tmp_path / "gone")
+    with pytest.raises(ValueError, match="manifest"):
+        records.load_samples(spark, f"file://{tmp_path}/s", "sft")
+
+
+@pytest.mark.parametrize("mode", ["sft", "reward_model", "dpo", "rollout"])
+def test_prepare_from_texts_to_shards(spark, tmp_path, mode):
+    texts = [(i, f"p{i} " * (i + 1), "c d", "r", "r s") for i in range(9)] + [(9, "", "x", "x", "x"), (10, None, None, "y", None)]
+    raw = spark.createDataFrame(texts, "idx bigint, prompt string, chosen string, rejected string, response string")
+    cfg = LoaderConfig(max_seq_len=5, max_prompt_len=4, shard_size=4)
+    cut = prepare(raw, mode, f"file://{tmp_path}/s", cfg)
+    most = 4 if mode == "rollout" else 5
+    assert {r.field: r.n_truncated for r in cut.collect()}["prompt_ids"] == 9 - most
+    got = records.load_samples(spark, f"file://{tmp_path}/s", mode).orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(9)) and [r.shard for r in got] == [0] * 4 + [1] * 4 + [2]
+    assert sorted(len(r.prompt_ids) for r in got) == sorted(min(i + 1, most) for i in range(9))
+    assert all(x[-1] == 2 for r in got for k, x in r.asDict().items() if k.endswith("_ids") and k != "prompt_ids")
+    said = records.read_manifest(spark, f"file://{tmp_path}/s/manifest.json").first()
+    assert said.total == 9 and said.skipped == 2 and records.manifest_settings(f"file://{tmp_path}/s", LoaderConfig()).max_seq_len == 5
+
+
+def test_prepare_from_named_sources(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"prompt": "a b", "response": "c"}\n{"prompt": "d", "response": "e"}\n')
+    spark.createDataFrame([("x", "y")], "prompt string, response string").write.parquet(f"{tmp_path}/b")
+    prepare_sources(spark, [f"{tmp_path}/a.jsonl", f"{tmp_path}/b"], "sft", f"{tmp_path}/out", LoaderConfig(shard_size=2), limits={f"{tmp_path}/a.jsonl": 1})
+    assert records.load_samples(spark, f"{tmp_path}/out", "sft").count() == 2
