@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from batchloom import catalog_sql
 from batchloom.config import LoaderConfig
@@ -74,10 +75,10 @@ def documents_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "source", "lang", text.n_words(F.col("text")).alias("len"))
 
 
-def planned(spark: SparkSession, sf_dir: str, batch_size: int = BS, bucketed: bool = True) -> DataFrame:
-    """(idx, p, r, len, bucket, batch, slot) of the pairs, cut with the response yielding first."""
+def planned(spark: SparkSession, sf_dir: str, batch_size: int = BS, bucketed: bool = True, held: DataFrame | None = None) -> DataFrame:
+    """(idx, p, r, len, bucket, batch, slot) of the pairs, cut with the response yielding first; ``held`` has lengths made before."""
     p, r = truncate.instruction_first_lengths(F.col("p"), F.col("r"), M)
-    held = pair_lengths(spark, sf_dir).select("idx", p.alias("p"), r.alias("r")).withColumn("len", F.col("p") + F.col("r"))
+    held = (pair_lengths(spark, sf_dir) if held is None else held).select("idx", p.alias("p"), r.alias("r")).withColumn("len", F.col("p") + F.col("r"))
     held = held.withColumn("bucket", batches.bucket(F.col("len"), CFG.boundaries) if bucketed else F.lit(0))
     return batches.bucket_batches(held, "idx", batch_size, by=["bucket"], seed=CFG.seed)
 
@@ -151,7 +152,7 @@ def trajectory_prompts(spark, sf_dir):
 
 @query
 def shp_swap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").hint("shuffle_hash"), "doc_id")
     raw = docs.select(F.col("doc_id").alias("idx"), F.col("lang").alias("history"), F.col("text").alias("human_ref_A"), F.col("source").alias("human_ref_B"), F.col("quality").alias("labels"))
     return extract.adapt("votes", raw)
 
@@ -532,9 +533,9 @@ def proxy_cost(spark, sf_dir):
 
 @query
 def batch_size_sweep(spark, sf_dir):
-    out = None
+    out, held = None, cut(pair_lengths(spark, sf_dir))
     for size in (8, 16, 32, 64):
-        one = metrics.proxy_cost(metrics.batch_table(planned(spark, sf_dir, size), ["bucket", "batch"], "len")).withColumn("batch_size", F.lit(size))
+        one = metrics.proxy_cost(metrics.batch_table(planned(spark, sf_dir, size, held=held), ["bucket", "batch"], "len")).withColumn("batch_size", F.lit(size))
         out = one if out is None else out.unionByName(one)
     return out.select("batch_size", "batches", "padded", "real", "padding_pct")
 
@@ -562,7 +563,8 @@ def cache_hits(spark, sf_dir):
 @query
 def pipeline_compare(spark, sf_dir):
     """Without buckets against with buckets."""
-    cost = lambda bucketed: metrics.proxy_cost(metrics.batch_table(planned(spark, sf_dir, bucketed=bucketed), ["bucket", "batch"], "len"), alpha=2.791e-05, beta=0.0604, gamma=2.361e-08)
+    held = cut(pair_lengths(spark, sf_dir))
+    cost = lambda bucketed: metrics.proxy_cost(metrics.batch_table(planned(spark, sf_dir, bucketed=bucketed, held=held), ["bucket", "batch"], "len"), alpha=2.791e-05, beta=0.0604, gamma=2.361e-08)
     return metrics.compare(cost(False), cost(True))
 
 
@@ -685,16 +687,241 @@ def shards_roundtrip(spark, sf_dir):
 
 @query
 def stream_shuffle(spark, sf_dir):
+    """Rows of two streams and their place in the shuffled output, which is one micro-batch here."""
     from batchloom.streaming import merge
 
     at = place(spark)
     for name in ("documents", "benchmark"):
         key = "doc_id" if name == "documents" else "item_id"
-        table(spark, sf_dir, name).select(F.col(key).alias("id"), "text").write.parquet(f"{at}/in/{name}")
+        table(spark, sf_dir, name).select(F.concat_ws(":", F.lit(name), F.col(key)).alias("id"), "text").write.parquet(f"{at}/in/{name}")
     schema = spark.read.parquet(f"{at}/in/benchmark").schema
-    stream = merge.stream_sources(spark, {n: f"{at}/in/{n}" for n in ("documents", "benchmark")}, schema)
+    stream = merge.stream_sources(spark, {n: f"{at}/in/{n}" for n in ("documents", "benchmark")}, schema, files_per_trigger=100_000)
     merge.write_shuffled(stream, "id", f"{at}/out", f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    out = spark.read.parquet(f"{at}/out").select("id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), "micro_batch", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # files are in order and rows within: the rows of the files before, then the row's own place
+    sizes = out.groupBy("micro_batch", "file").agg(F.count("*").alias("n"))
+    before = sizes.select("micro_batch", "file", F.coalesce(F.sum("n").over(Window.partitionBy("micro_batch").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return out.join(before, ["micro_batch", "file"]).select("id", "source", "text_md5", (F.col("start") + F.col("row")).alias("pos"))
+
+
+def _tokenbin(df: DataFrame, kind: str) -> DataFrame:
+    """Rows written in a binary format and read again, with ``part``, the number of their file's task."""
+    from batchloom.sources import tokenbin
+
+    spark = df.sparkSession
+    tokenbin.register(spark)
+    at = place(spark)
+    df.write.format("tokenbin").option("format", kind).mode("append").save(at)
+    return spark.read.format("tokenbin").option("format", "sample_lengths" if kind == "samples" else kind).load(at).withColumn("part", F.regexp_extract("file", r"part-(\d+-\d+)-", 1))
+
+
+@query
+def sequences_zip(spark, sf_dir):
+    """Prompts and responses as two sets of files of sequences, joined again by file and place."""
+    ids = cut(pair_ids(spark, sf_dir).repartitionByRange("idx").sortWithinPartitions("idx"))
+    left, right = (_tokenbin(ids.select(F.col(f"{c}_ids").alias("ids")), "sequences").select(F.concat_ws("-", "part", "seq_idx").alias("seq_idx"), F.col("ids").alias(f"{c}_ids")) for c in ("prompt", "response"))
+    return digests(batches.zip_sequences(left, right).drop("seq_idx"), "prompt_ids", "response_ids")
+
+
+@query
+def lengths_roundtrip(spark, sf_dir):
+    """Lengths as a file of their own, and as the heads of the samples' records."""
+    ids = pair_ids(spark, sf_dir).select("prompt_ids", "response_ids")
+    own = _tokenbin(ids.select(F.size("prompt_ids").alias("prompt_len"), F.size("response_ids").alias("response_len")), "lengths")
+    heads = _tokenbin(ids, "samples")
+    return own.select(F.lit("lengths").alias("kind"), "prompt_len", "response_len").unionAll(heads.select(F.lit("samples"), "prompt_len", "response_len"))
+
+
+@query
+def compressed_roundtrip(spark, sf_dir):
+    """Even vectors as four patches of sixteen, odd ones as ids."""
+    odd, v = F.col("vec_id") % 2 == 1, F.col("embedding").cast("array<float>")
+    four = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice(v, k * 16 + 1, 16))
+    made = table(spark, sf_dir, "embeddings").select(
+        F.when(odd, 0).otherwise(1).cast("tinyint").alias("type"),
+        F.when(odd, F.array(F.col("vec_id").cast("int"), F.col("label").cast("int"))).alias("ids"),
+        F.when(~odd, 5).alias("patch_size"),
+        F.when(~odd, 16).alias("embed_dim"),
+        F.when(~odd, four).alias("vectors"),
+    )
+    out = _tokenbin(made, "compressed")
+    scaled = F.transform(F.flatten("vectors"), lambda x: F.floor(x.cast("double") * 1024).cast("bigint"))
+    return out.select(F.col("type").cast("int").alias("type"), arrays.digest(F.col("ids")).alias("ids_md5"), "patch_size", "embed_dim", F.size("vectors").cast("bigint").alias("steps"), arrays.digest(scaled).alias("vectors_md5"))
+
+
+@query
+def permissive_read(spark, sf_dir):
+    """A file of the nations' names that lacks its last byte: what is whole is read."""
+    from batchloom.sources import storage, tokenbin
+
+    tokenbin.register(spark)
+    at = place(spark)
+    names = table(spark, sf_dir, "nation").orderBy("n_nationkey").select(text.token_ids(F.concat_ws(" ", "n_name", "n_name"), CFG.vocab_size).alias("ids"))
+    names.coalesce(1).write.format("tokenbin").option("format", "sequences").mode("append").save(f"{at}/whole")
+    system, _ = storage.open_system(at)
+    with system.open_input_stream(tokenbin.files(f"{at}/whole")[0]) as f:
+        storage.write(f"{at}/short/a.bin", f.read()[:-1])
+    back = spark.read.format("tokenbin").option("format", "sequences").option("mode", "PERMISSIVE").load(f"{at}/short")
+    return digests(back.select("seq_idx", "ids"), "ids")
+
+
+@query
+def jsonl_roundtrip(spark, sf_dir):
+    """Triples as JSON lines, read strictly by what direct preference needs, and as pairs by name."""
+    from batchloom.sources import records
+
+    at = place(spark)
+    records.write_jsonl(triples(spark, sf_dir), f"{at}/a.jsonl")
+    strict = records.read_jsonl(spark, f"{at}/a.jsonl", mode="dpo").select(F.lit("strict").alias("kind"), "prompt", F.col("chosen").alias("response"))
+    return strict.unionAll(records.read_jsonl_pairs(spark, f"{at}/a.jsonl", "prompt", "rejected").select(F.lit("pairs"), "prompt", "response"))
+
+
+@query
+def resolved_sources(spark, sf_dir):
+    """One source by its registered name, whose training split has another name, and one by its path."""
+    from batchloom.sources import records
+
+    at = place(spark)
+    raw = triples(spark, sf_dir).select("idx", F.col("prompt").alias("instruction"), F.col("system").alias("input"), F.col("chosen").alias("output"))
+    raw.write.parquet(f"{at}/named/split=train_sft")
+    preference_to_sft(spark, sf_dir).write.parquet(f"{at}/plain")
+    records.register_source("instructions", f"{at}/named", "instruction", "train_sft")
+    found = {"named": records.resolve(spark, "instructions"), "path": records.resolve(spark, f"{at}/plain")}
+    return records.union_sources({k: v.select("idx", "prompt", "response") for k, v in found.items()})
+
+
+@query
+def source_limits(spark, sf_dir):
+    """A cap of seven rows on one source, in the order of its keys, and none on the other: the cap is the feature."""
+    from batchloom.sources import records
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx")).orderBy("idx")
+    return records.union_sources({"documents": docs, "benchmark": table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"))}, limits={"documents": 7})
+
+
+@query
+def stats_sample(spark, sf_dir):
+    """Length statistics of a sample: the feature is its limit, of a hundred documents."""
+    return lengths.length_stats(lengths.first_rows(documents_lengths(spark, sf_dir), "idx", 100), ["len"])
+
+
+@query
+def rollout_buffer(spark, sf_dir):
+    """Two pushes, sealed; all minibatches of the second pass, one after the other."""
+    rows = _rollouts(spark, sf_dir).select("row_id")
+    buffer = rollout.RolloutBuffer(minibatch_size=100, normalize_adv=False)
+    for k in (0, 1):
+        buffer.push(rows.where(F.col("row_id") % 2 == k))
+    buffer.seal()
+    buffer.reset_cursor()
+    out = None
+    while (one := buffer.next_minibatch()) is not None:
+        out = one if out is None else out.unionAll(one)
+    return out.select("row_id", "minibatch", "slot")
+
+
+@query
+def throughput(spark, sf_dir):
+    """Of measured seconds by phase; these are given, so that the result is the same everywhere."""
+    return metrics.throughput(stepped(spark, sf_dir), {"read": 1.5, "collate": 0.5})
+
+
+@query
+def tokenizer_ids(spark, sf_dir):
+    """A tokenizer in Python, a batch at a time: the same ids as by built-in expressions."""
+
+    def make():
+        import hashlib
+
+        return lambda texts: [[3 + int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % CFG.vocab_size for w in t.split()] for t in texts]
+
+    ids = text.tokenizer_udf(make)(F.col("prompt"))
+    return digests(pairs(spark, sf_dir).select("idx", ids.alias("prompt_ids")), "prompt_ids")
+
+
+@query
+def cache_hits_lru(spark, sf_dir):
+    """A cache of three shards under samples in a seeded order."""
+    held = sharded(spark, sf_dir).select("idx", "shard")
+    return metrics.cache_hits(ranks.global_rank(held, ranks.order_key(CFG.seed, 0, F.col("idx")), ["idx"]), capacity=3)
+
+
+# Loaders and preparation
+
+
+def _samples(spark, sf_dir):
+    ids = pair_ids(spark, sf_dir).withColumnRenamed("idx", "conv_id")
+    return ranks.dense_index(ids, "conv_id").drop("conv_id")
+
+
+def _loader_plan(spark, sf_dir, **args):
+    from batchloom import loader
+
+    return loader.plan(_samples(spark, sf_dir), "sft", loader.with_epoch(CFG, args.pop("epoch", 0)), rank=1, **args)
+
+
+@query
+def loader_bucketed(spark, sf_dir):
+    """The third epoch of the second rank."""
+    return _loader_plan(spark, sf_dir, epoch=3)
+
+
+@query
+def loader_sharded(spark, sf_dir):
+    return _loader_plan(spark, sf_dir, order="sharded")
+
+
+@query
+def loader_windowed(spark, sf_dir):
+    return _loader_plan(spark, sf_dir, order="windowed")
+
+
+@query
+def loader_batches(spark, sf_dir):
+    """Tensors of the second rank's batches, as the training process gets them, as digests."""
+    from batchloom import loader
+
+    out = loader.build_rollout_dataloader(_samples(spark, sf_dir), CFG, rank=1, order="sharded")
+    return out.select("step", F.size("ids").cast("bigint").alias("n"), arrays.digest(F.flatten("ids")).alias("ids_md5"), arrays.digest(F.flatten("mask")).alias("mask_md5"))
+
+
+def _prepared(spark, sf_dir, mode, raw, adapter=None):
+    from batchloom.prepare import prepare
+    from batchloom.sources import records
+
+    at = place(spark)
+    cut_counts = prepare(raw, mode, at, CFG, adapter=adapter)
+    samples = records.load_samples(spark, at, mode)
+    return cut_counts, digests(samples, *records.MODE_COLUMNS[mode])
+
+
+@query
+def prepare_sft(spark, sf_dir):
+    """Raw turns through the chat adapter to shards, read again by their manifest."""
+    raw = extract.nest_turns(turns(spark, sf_dir)).withColumnRenamed("conv_id", "idx")
+    return _prepared(spark, sf_dir, "sft", raw, "chat")[1]
+
+
+@query
+def prepare_reward(spark, sf_dir):
+    return _prepared(spark, sf_dir, "reward_model", triples(spark, sf_dir))[1]
+
+
+@query
+def prepare_dpo(spark, sf_dir):
+    return _prepared(spark, sf_dir, "dpo", triples(spark, sf_dir))[1]
+
+
+@query
+def prepare_rollout(spark, sf_dir):
+    return _prepared(spark, sf_dir, "rollout", triples(spark, sf_dir))[1]
+
+
+@query
+def prepare_truncations(spark, sf_dir):
+    """How many samples lost ids, by field."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("prompt"), F.col("source").alias("response"))
+    return _prepared(spark, sf_dir, "sft", docs)[0]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

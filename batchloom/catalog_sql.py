@@ -197,6 +197,28 @@ def part(k: int) -> str:
     return f"list_sum(CAST(list_slice(embedding, {k * 16 + 1}, {k * 16 + 16}) AS DOUBLE[]))"
 
 
+def share(epoch: int = 0) -> str:
+    """samples and mine (idx, shard, pos, n): the second of four ranks' samples, numbered anew, after PIDS."""
+    return f"""samples AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, prompt_ids, response_ids FROM ids),
+placed AS (SELECT idx, CAST(idx // 64 AS INTEGER) AS shard, len(prompt_ids) + len(response_ids) AS n, row_number() OVER (ORDER BY {h('idx', epoch=epoch)}, idx) - 1 AS pos, count(*) OVER () AS total FROM samples),
+sized AS (SELECT *, CAST(ceil(total / 4.0) AS BIGINT) AS per FROM placed),
+mine AS (SELECT idx, shard, n, q AS pos FROM (SELECT *, CASE WHEN k = 0 THEN pos WHEN pos = 0 THEN total + k - 1 END AS q FROM sized, range(5) AS g(k)) WHERE q >= per AND q < 2 * per)"""
+
+
+def by_shard() -> str:
+    """aware (idx, batch, slot), and ins and starts by shard, after share()."""
+    return f"""sizes AS (SELECT shard, count(*) AS c FROM mine GROUP BY shard), spots AS (SELECT *, CAST(row_number() OVER (ORDER BY {h('shard')}, shard) - 1 AS INTEGER) AS shard_pos FROM sizes),
+starts AS (SELECT *, coalesce(sum(c) OVER (ORDER BY shard_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM spots),
+ins AS (SELECT idx, shard, row_number() OVER (PARTITION BY shard ORDER BY {h('pos')}, pos) - 1 AS k FROM mine),
+aware AS (SELECT idx, CAST((start + k) // {BS} AS INTEGER) AS batch, CAST((start + k) % {BS} AS INTEGER) AS slot FROM ins JOIN starts USING (shard))"""
+
+
+def shards_of(columns: str, most: int = M) -> str:
+    """The samples of ids as written to shards, and the end of the query."""
+    cut = ", ".join(f"{head(c, str(most))} AS {c}" for c in columns.split())
+    return f"x AS (SELECT row_number() OVER (ORDER BY {h('idx')}, idx) - 1 AS place, {cut} FROM ids) SELECT place AS idx, CAST(place // 64 AS INTEGER) AS shard, {digested(columns)} FROM x"
+
+
 def all_sql() -> dict[str, str]:
     pair_digest = digested("prompt_ids response_ids")
     cut = lambda body: f"WITH {PIDS}, cut AS ({body}) SELECT idx, {pair_digest} FROM cut"
@@ -219,7 +241,7 @@ def all_sql() -> dict[str, str]:
         "inputs_targets_adapter": f"WITH {TRIPLES} SELECT idx, prompt, rejected AS response FROM triples WHERE prompt IS NOT NULL AND rejected IS NOT NULL",
         "orca_prompts": f"WITH {TRIPLES}, x AS (SELECT idx, {strip('''coalesce(system, '') || chr(10) || coalesce(prompt, '')''')} AS prompt, chosen, rejected FROM triples) SELECT * FROM x WHERE prompt <> '' AND chosen IS NOT NULL AND rejected IS NOT NULL",
         "trajectory_prompts": f"WITH {TRIPLES}, lines AS (SELECT idx, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || x, chr(10) ORDER BY turn) AS prompt FROM t WHERE role IN ('user', 'assistant') GROUP BY idx) SELECT idx, {strip('lines.prompt')} AS prompt, chosen, rejected FROM lines JOIN triples USING (idx) WHERE chosen IS NOT NULL AND rejected IS NOT NULL",
-        "shp_swap": "SELECT * FROM (SELECT doc_id AS idx, lang AS prompt, CASE WHEN quality = 1 THEN substr(text, 1, 40) ELSE source END AS chosen, CASE WHEN quality = 1 THEN source ELSE substr(text, 1, 40) END AS rejected FROM documents JOIN labels USING (doc_id)) WHERE prompt <> '' AND chosen <> '' AND rejected <> ''",
+        "shp_swap": "SELECT * FROM (SELECT doc_id AS idx, lang AS prompt, CASE WHEN quality = 1 THEN text ELSE source END AS chosen, CASE WHEN quality = 1 THEN source ELSE text END AS rejected FROM documents JOIN labels USING (doc_id)) WHERE prompt <> '' AND chosen <> '' AND rejected <> ''",
         "hh_split": f"""WITH {TRANSCRIPT}, cut AS (SELECT idx, chosen AS c, len(string_split(chosen, chr(10) || chr(10) || 'Assistant:')) AS k, string_split(chosen, chr(10) || chr(10) || 'Assistant:') AS parts FROM chats),
 x AS (SELECT idx, {strip("array_to_string(list_slice(parts, 1, k - 1), chr(10) || chr(10) || 'Assistant:')")} AS prompt, {strip('parts[k]')} AS chosen, {strip("parts[k] || ' No.'")} AS rejected FROM cut WHERE k > 1)
 SELECT * FROM x WHERE prompt <> '' AND chosen <> '' AND rejected <> ''""",
@@ -302,5 +324,33 @@ SELECT pos, idx, rank, bucket, CAST(k // {BS} AS INTEGER) AS batch, CAST(k % {BS
         "preference_loss": f"SELECT vec_id AS row_id, round({softplus(f'CAST(0.1 AS DOUBLE) * (({part(0)}) - ({part(2)})) - CAST(0.1 AS DOUBLE) * (({part(1)}) - ({part(3)}))')}, 6) AS loss FROM embeddings",
         "tokenbin_roundtrip": f"WITH {PIDS} SELECT {pair_digest} FROM ids",
         "shards_roundtrip": f"WITH {PIDS}, x AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS k, prompt_ids, response_ids FROM ids) SELECT k AS idx, CAST(k // 64 AS INTEGER) AS shard, {pair_digest} FROM x",
-        "stream_shuffle": "SELECT doc_id AS id, 'documents' AS source, md5(text) AS text_md5 FROM documents UNION ALL SELECT item_id, 'benchmark', md5(text) FROM benchmark",
+        "stream_shuffle": f"WITH u AS (SELECT 'documents:' || doc_id AS id, 'documents' AS source, md5(text) AS text_md5 FROM documents UNION ALL SELECT 'benchmark:' || item_id, 'benchmark', md5(text) FROM benchmark) SELECT *, row_number() OVER (ORDER BY {h('id')}, id) - 1 AS pos FROM u",
+        "sequences_zip": f"WITH {PIDS} SELECT {pair_digest} FROM ids",
+        "lengths_roundtrip": f"WITH {PIDS} SELECT unnest(['lengths', 'samples']) AS kind, CAST(len(prompt_ids) AS INTEGER) AS prompt_len, CAST(len(response_ids) AS INTEGER) AS response_len FROM ids",
+        "compressed_roundtrip": """SELECT 0 AS type, md5(array_to_string([vec_id, label], ',')) AS ids_md5, NULL::INTEGER AS patch_size, NULL::INTEGER AS embed_dim, NULL::BIGINT AS steps, NULL::VARCHAR AS vectors_md5 FROM embeddings WHERE vec_id % 2 = 1
+UNION ALL SELECT 1, NULL, 5, 16, 4, md5(array_to_string(list_transform(CAST(CAST(embedding AS FLOAT[]) AS DOUBLE[]), lambda x: CAST(floor(x * 1024) AS BIGINT)), ',')) FROM embeddings WHERE vec_id % 2 = 0""",
+        "permissive_read": f"WITH x AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS seq_idx, {ids("n_name || ' ' || n_name")} AS ids, count(*) OVER () AS n FROM nation) SELECT seq_idx, {digested('ids')} FROM x WHERE seq_idx < n - 1",
+        "jsonl_roundtrip": f"WITH {TRIPLES} SELECT 'strict' AS kind, prompt, chosen AS response FROM prefs UNION ALL SELECT 'pairs', prompt, rejected FROM triples WHERE prompt IS NOT NULL AND rejected IS NOT NULL",
+        "resolved_sources": f"WITH {TRIPLES} SELECT 'named' AS source, idx, CASE WHEN coalesce(system, '') <> '' THEN prompt || chr(10) || system ELSE prompt END AS prompt, chosen AS response FROM triples WHERE prompt IS NOT NULL AND chosen IS NOT NULL UNION ALL SELECT 'path', idx, prompt, chosen FROM prefs",
+        "source_limits": "SELECT * FROM (SELECT doc_id AS idx, 'documents' AS source FROM documents ORDER BY doc_id LIMIT 7) UNION ALL SELECT item_id, 'benchmark' FROM benchmark",
+        "stats_sample": f"WITH {DOCS}, few AS (SELECT * FROM docs ORDER BY idx LIMIT 100), {stats('few', ['len'])}",
+        "rollout_buffer": f"WITH x AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY {h('vec_id', epoch=1)}, vec_id) - 1 AS k FROM embeddings) SELECT row_id, CAST(k // 100 AS INTEGER) AS minibatch, CAST(k % 100 AS INTEGER) AS slot FROM x",
+        "throughput": f"WITH {BATCHES}, rates AS (SELECT sum(n) / 2.0::DOUBLE AS s, sum(real) / 2.0::DOUBLE AS k FROM b) SELECT s AS samples_per_sec, k AS tokens_per_sec, phase, seconds, share_pct FROM rates, (VALUES ('read', 1.5::DOUBLE, 75.0::DOUBLE), ('collate', 0.5::DOUBLE, 25.0::DOUBLE)) AS e(phase, seconds, share_pct)",
+        "tokenizer_ids": f"WITH {PIDS} SELECT idx, {digested('prompt_ids')} FROM ids",
+        "cache_hits_lru": f"""WITH {SHARDS}, o AS (SELECT shard, row_number() OVER (ORDER BY {h('idx')}, idx) - 1 AS pos FROM s), l AS (SELECT *, lag(pos) OVER (PARTITION BY shard ORDER BY pos) AS before FROM o),
+c AS (SELECT l.pos, l.before, count(DISTINCT o.shard) AS n FROM l LEFT JOIN o ON o.pos > l.before AND o.pos < l.pos GROUP BY l.pos, l.before), f AS (SELECT before IS NOT NULL AND n < 3 AS hit FROM c)
+SELECT count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, 100.0::DOUBLE * count(*) FILTER (WHERE hit) / count(*) AS hit_rate FROM f""",
+        "loader_bucketed": f"""WITH {PIDS}, {share(3)}, x AS (SELECT idx, pos, {bucket(f'least(n, {M})', (32, 64, 128), True)} AS bucket FROM mine),
+y AS (SELECT idx, bucket, row_number() OVER (PARTITION BY bucket ORDER BY {h('pos', epoch=3)}, pos) - 1 AS k FROM x), z AS (SELECT idx, bucket, CAST(k // {BS} AS INTEGER) AS batch, CAST(k % {BS} AS INTEGER) AS slot FROM y),
+o AS (SELECT bucket, batch, row_number() OVER (ORDER BY {h('bucket', 'batch', epoch=3)}, bucket, batch) - 1 AS step FROM (SELECT DISTINCT bucket, batch FROM z)) SELECT idx, bucket, batch, slot, step FROM z JOIN o USING (bucket, batch)""",
+        "loader_sharded": f"WITH {PIDS}, {share()}, {by_shard()} SELECT idx, 0 AS bucket, batch, slot, CAST(batch AS BIGINT) AS step FROM aware",
+        "loader_windowed": f"""WITH {PIDS}, {share()}, {by_shard()}, w AS (SELECT idx, CAST(shard_pos // 2 AS INTEGER) AS bucket, row_number() OVER (PARTITION BY shard_pos // 2 ORDER BY k, shard_pos) - 1 AS turn FROM ins JOIN starts USING (shard)),
+z AS (SELECT idx, bucket, CAST(turn // {BS} AS INTEGER) AS batch, CAST(turn % {BS} AS INTEGER) AS slot FROM w), n AS (SELECT bucket, max(batch) + 1 AS n FROM z GROUP BY bucket),
+first AS (SELECT bucket, CAST(coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n) SELECT idx, bucket, batch, slot, start + batch AS step FROM z JOIN first USING (bucket)""",
+        "loader_batches": f"WITH {PIDS}, {share()}, {by_shard()}, x AS (SELECT batch, slot, {rollout_ids} AS a, {rollout_mask} AS m FROM aware JOIN samples USING (idx)) SELECT CAST(batch AS BIGINT) AS step, count(*) AS n, md5(array_to_string(flatten(list(a ORDER BY slot)), ',')) AS ids_md5, md5(array_to_string(flatten(list(m ORDER BY slot)), ',')) AS mask_md5 FROM x GROUP BY batch",
+        "prepare_sft": f"WITH {TURNS}, pairs AS (SELECT * FROM (SELECT idx, arg_min(x, turn) FILTER (WHERE r = 'user' AND x <> '') AS prompt, arg_min(x, turn) FILTER (WHERE r = 'assistant' AND x <> '') AS response FROM t GROUP BY idx) WHERE prompt IS NOT NULL AND response IS NOT NULL), ids AS{PIDS.split('ids AS', 1)[1]}, {shards_of('prompt_ids response_ids')}",
+        "prepare_reward": f"WITH {PREFIDS}, {shards_of('prompt_ids chosen_ids rejected_ids')}",
+        "prepare_dpo": f"WITH {PREFIDS}, {shards_of('prompt_ids chosen_ids rejected_ids')}",
+        "prepare_rollout": f"WITH {TRIPLES}, ids AS (SELECT idx, {ids('prompt')} AS prompt_ids FROM triples WHERE prompt IS NOT NULL), {shards_of('prompt_ids', 48)}",
+        "prepare_truncations": f"WITH x AS (SELECT {n_words('text')} AS p, {n_words('source')} + 1 AS r FROM documents) SELECT 'prompt_ids' AS field, count(*) FILTER (WHERE p > {M} AND r > 1) AS n_truncated FROM x UNION ALL SELECT 'response_ids', count(*) FILTER (WHERE r > {M} AND p > 0) FROM x",
     }
