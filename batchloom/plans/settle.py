@@ -46,7 +46,9 @@ def cut(df: DataFrame, *, keep: bool = False) -> DataFrame:
     if keep and len(_made) > 1:
         _made[-2].append(_made[-1].pop())
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
 
 
 def delete(spark: SparkSession, at: str) -> None:
