@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
+from batchloom.plans import settle
+from pyspark.sql import functions as F
 
 from tests.llm.common import DOCS, edited, prose, rows
 
@@ -59,3 +62,34 @@ def test_stages_take_empty_tables(spark, folder, tmp_path):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, at).count() == 0
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Null, blank and very long texts, repeated rows, missing ids, a column of a clashing name, and no labels or benchmark."""
+    rng = random.Random(5)
+    long = prose(rng, 400_000, 10**8)
+    plain = prose(rng, 80)
+    texts = [None, "", " \n ", "one", long, plain, plain + " ", plain]
+    ids = [0, 1, 2, 3, 4, 5, 6, None]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in zip(ids, texts)] + [(4, long, "en", "s", 1)], DOCS).withColumn("written", F.lit("w")).withColumn("group_id", F.lit(1))
+    empty_labels, empty_items = f"{tmp_path}/labels.parquet", f"{tmp_path}/benchmark.parquet"
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(empty_labels)
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(empty_items)
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, str(tmp_path)))
+        assert docs.columns[-2:] == ["written", "group_id"]
+        seen.append(sorted(str(r.doc_id) for r in docs.collect()))
+    good, apart, cut, clean = seen
+    assert good == ["3", "4", "4", "5", "6", "None"]
+    assert apart == ["3", "4", "4", "5", "None"]  # the copy goes, the row without an id stays
+    assert cut == clean == apart
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.n_words for r in packed) == 1 + 2 * 400_000 + 80 + 80
+
+
+def test_a_run_leaves_one_table(spark, folder):
+    at = Path(settle.folder(spark).removeprefix("file://"))
+    before = set(at.iterdir()) if at.exists() else set()
+    corpus_pipeline.run(spark, folder[0]).count()
+    assert len(set(at.iterdir()) - before) == 1
