@@ -15,9 +15,9 @@ scores every document whole. Labels reach neither the label model nor the classi
 
 A document is toxic if the classifier's log odds are above ``threshold``.
 
-Passes over the texts: one for the words of labelled documents (with labels), one for the votes, of which
+Passes over the texts: one for the words of documents (with labels), one for the votes, of which
 only counts by pattern are kept, one that reads the sample, chosen by hash before its
-texts leave the JVM, and one for scores. With labels, texts are shuffled once by id to meet them.
+texts leave the JVM, and one for scores. With labels, the words of each document, as hashes, are shuffled once by id to meet them.
 
 Defined cases: null and blank texts get no votes; they score null and aren't
 toxic. If no voter ever says toxic, or all documents are alike, there is no
@@ -217,17 +217,16 @@ def cast_votes(part: pa.RecordBatch, induced: np.ndarray) -> np.ndarray:
     return votes
 
 
-def induce(docs: DataFrame, labels: DataFrame, *, support: int = 4, ratio: float = 20.0, unlike: float = 0.2) -> np.ndarray:
+def induce(docs: DataFrame, labels: DataFrame, *, support: int = 4, ratio: float = 20.0, unlike: float = 0.2, most_words: int = 1 << 20) -> np.ndarray:
     """Sorted hashes of the words that set toxic documents apart.
 
     A word needs ``support`` toxic documents that are unlike (by the least of
     their word hashes, which copies share), these being a share of ``unlike`` of
     the toxic documents with it, and a rate among toxic documents ``ratio`` times that among
-    clean ones.
+    clean ones. The lexicon travels with the tasks, so it holds ``most_words`` (8 MB) at most, those of the most documents.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    # labels grow with the corpus, so they are joined by shuffle at every size
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(known.hint("shuffle_hash"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,20 +236,20 @@ def induce(docs: DataFrame, labels: DataFrame, *, support: int = 4, ratio: float
                 hashes, row = hashes[order], row[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-                hashes, row = hashes[new], row[new]
-                least = hashes[np.searchsorted(row, row)]  # the first of a row is its least
-                toxic = part.column("toxic").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(least.view(np.int64)), pa.array(toxic, pa.int32())], ["word", "least", "toxic"])
+                edge = np.searchsorted(row[new], np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(edge, pa.array(hashes[new].view(np.int64)))], ["doc_id", "words"])
 
-    found = chosen.mapInArrow(distinct_words, "word bigint, least bigint, toxic int")
-    totals = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # labels grow with the corpus, so they are joined by shuffle at every size: to the words of each document, which are half as large as its text
+    chosen = mine.mapInArrow(distinct_words, "doc_id bigint, words array<bigint>").join(known.hint("shuffle_hash"), "doc_id")
+    found = chosen.select(F.explode("words").alias("word"), F.get("words", F.lit(0)).alias("least"), F.col("toxic").cast("int").alias("toxic"))  # the first of a row is its least
+    totals = {r.toxic: r.n for r in mine.select("doc_id").join(known.hint("shuffle_hash"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return np.zeros(0, U64)
     n_toxic, n_clean = F.sum("toxic"), F.sum(1 - F.col("toxic"))
     kinds = F.count_distinct(F.when(F.col("toxic") == 1, F.col("least")))
     counted = found.groupBy("word").agg(n_toxic.alias("t"), n_clean.alias("c"), kinds.alias("k"))
     good = counted.where((F.col("k") >= support) & (F.col("k") >= unlike * F.col("t")) & (F.col("t") * totals[0] >= ratio * (F.col("c") + 0.5) * totals[1]))
-    return np.sort(good.select("word").toArrow().column("word").to_numpy().view(U64))
+    return np.sort(good.orderBy(F.desc("k"), "word").limit(most_words).select("word").toArrow().column("word").to_numpy().view(U64))
 
 
 def _features(part: pa.RecordBatch, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
