@@ -33,7 +33,9 @@ Groups are found in this order:
    32-bit hashes (two documents of n elements share n * n / 2**32 by chance).
    Those of classes with candidates are written once, 4 bytes a pair of words,
    for all rounds.
-5. Components come from alternating large-star and small-star steps; each writes
+5. Components of up to ``GATHER`` edges (32 MB) come from one task, so that the driver plans
+   and compiles a few queries and not some for each step. Those of more come from alternating large-star and
+   small-star steps, until so few edges are left or nothing changes; each writes
    its edges to the shared folder. The least neighbours come from aggregates.
 
 The recall of a pair is 1 - (1 - J ** rows_per_band) ** bands: 0.92 at J = 0.5
@@ -61,6 +63,8 @@ BANDS, ROWS_PER_BAND, THRESHOLD = 40, 4, 0.5
 PAIR = U64(0x9E3779B97F4A7C15)
 #: Classes of a key that are compared as pairs, of a block beyond that; elements that signatures are made of at once.
 FEW, BLOCK, ELEMENTS = 32, 256, 1 << 20
+#: Edges that one task joins to components; more are brought down in steps first, or to the end.
+GATHER = 1 << 21
 SIGNED = "doc_id bigint, h1 bigint, h2 bigint, keys array<bigint>"
 
 
@@ -314,11 +318,42 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least vertex of the component of each of ``n`` vertices, by the edges from ``a`` to ``b``."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def _gathered(stars: DataFrame) -> DataFrame:
+    """(u, v): every vertex but the least of its component, and that one, in a single task."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64),) * 2, *((b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches)]
+        u, v = (np.concatenate(x) for x in zip(*held))
+        ids, place = np.unique(np.append(u, v), return_inverse=True)
+        root = roots(len(ids), place[: len(u)], place[len(u) :])
+        below = np.flatnonzero(root != np.arange(len(ids)))
+        for i in range(0, len(below), 1 << 16):
+            some = below[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], ["u", "v"])
+
+    return stars.coalesce(1).mapInArrow(join, "u bigint, v bigint")
+
+
+def components(edges: DataFrame, *, gather: int = GATHER) -> DataFrame:
     """(doc_id, group_id) of every document with an edge; group_id is the least doc_id of the component."""
     stars, before = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
     with scratch(edges.sparkSession):
-        while True:
+        stars = cut(stars)
+        while stars.count() > gather:
             both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
             large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
             linked = large.join(_least(large), "u")
@@ -328,6 +363,8 @@ def components(edges: DataFrame) -> DataFrame:
             if state == before:
                 break
             before = state
+        else:
+            stars = cut(_gathered(stars))
         groups = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
         return cut(groups.unionAll(groups.select("group_id").distinct().select(F.col("group_id").alias("doc_id"), "group_id")), keep=True)
 

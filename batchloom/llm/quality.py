@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.llm.textarrays import SLICE_BYTES, U64, mix, pieces, word_hashes, words
+from batchloom.llm.textarrays import SLICE_BYTES, U64, flat, mix, pieces, word_hashes, words
 
 FEATURES = 1 << 19
 
@@ -94,8 +94,12 @@ def features(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, n
 
 def _descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
     """L2-loss linear support vectors by dual coordinate descent, on rows of unit length."""
-    values = [ratios[x] for x in rows]
-    values = [v / max(np.sqrt(v @ v + 1e-12), 1e-6) for v in values]
+    edge = np.cumsum([0, *map(len, rows)])
+    held = np.empty(edge[-1])  # one array, which goes back to the system afterwards, as many small ones don't
+    values = [held[a:b] for a, b in zip(edge[:-1], edge[1:])]
+    for x, out in zip(rows, values):
+        v = ratios[x]
+        out[:] = v / max(np.sqrt(v @ v + 1e-12), 1e-6)
     weights, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
     share = np.where(labels > 0, len(labels) / (2 * (labels > 0).sum()), len(labels) / (2 * (labels < 0).sum()))
     diagonal = 1 / (2 * cost * share)
@@ -161,8 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> Quali
     found = training_rows(docs, labels, "quality", per_class).mapInArrow(extract, "doc_id bigint, label int, found binary").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     y = np.where(found.column("label").to_numpy() == 1, 1, -1)[order]
-    column = found.column("found")
-    return fit([np.frombuffer(column[int(i)].as_py(), np.int32) for i in order], y)
+    data, off = flat(found.column("found"))
+    feature, off = data.view("<i4"), off // 4
+    return fit([feature[off[i] : off[i + 1]] for i in order], y)
 
 
 def _scored(docs: DataFrame, model: QualityModel | None, threshold: float) -> DataFrame:

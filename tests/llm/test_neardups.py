@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from batchloom.llm import neardups, textarrays
+from batchloom.plans import settle
 from pyspark.sql import functions as F
 
 from tests.llm.common import AWKWARD, documents, edited, empty, prose
@@ -167,6 +168,39 @@ def test_components(spark, edges):
     assert got == root
 
 
+@pytest.mark.parametrize("gather", [0, 30, neardups.GATHER])
+def test_components_by_steps_and_in_one_task_agree(spark, gather):
+    rng = random.Random(2)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(25)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = neardups.components(spark.createDataFrame(edges, "a bigint, b bigint"), gather=gather).collect()
+    assert len(got) == len(root) and {r.doc_id: r.group_id for r in got} == root
+
+
+def test_a_long_chain_costs_no_query_a_step(spark, monkeypatch):
+    """The driver keeps memory for each query it has planned and compiled, so their number may not follow the shape of the groups."""
+    written = []
+    monkeypatch.setattr(neardups, "cut", lambda df, **how: written.append(1) or settle.cut(df, **how))
+    edges = [(i, i + 1) for i in range(300)]
+    got = neardups.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {(r.doc_id, r.group_id) for r in got} == {(i, 0) for i in range(301)} and len(written) <= 3
+
+
+def test_roots_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (50, 20), (50, 60), (400, 390)):
+        a, b = rng.integers(0, n, (2, m))
+        root = np.arange(n)
+        for _ in range(n):
+            np.minimum.at(root, a, root[b])
+            np.minimum.at(root, b, root[a])
+        assert (neardups.roots(n, a, b) == root).all()
+
+
 def test_awkward_texts(spark):
     docs = documents(spark, AWKWARD).withColumns({"key": F.lit(1), "row": F.lit(2), "gone_id": F.lit(3), "group_id": F.lit(4)})
     groups = neardups.near_groups(docs)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,16 @@ def test_descent_reaches_the_optimum():
         assert loss(best + rng.normal(size=41) * 0.02) >= base - 1e-6
 
 
+def test_fit_holds_its_values_once():
+    rng = np.random.default_rng(3)
+    rows = [rng.choice(quality.FEATURES, 2000, replace=False) for _ in range(2000)]
+    tracemalloc.start()
+    quality.fit(rows, np.where(np.arange(2000) % 2, 1, -1), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 2000 * 2000 * 8 + 4 * quality.FEATURES * 8
+
+
 def test_ratios_are_those_of_the_counts():
     rows = [np.array([1, 2]), np.array([1]), np.array([2, 3])]
     model = quality.fit(rows, np.array([1, 1, -1]))
