@@ -187,6 +187,20 @@ def test_induced_words_need_unlike_documents(spark):
     assert not np.isin(copied, got).any()
 
 
+def test_only_words_of_labelled_documents_are_moved(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [f"{prose(rng, 30)} {'zzslur' if i % 40 == 0 else 'fine'}" for i in range(2000)]
+    docs, known = documents(spark, texts), spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(0, 2000, 10)], "doc_id bigint, toxic int")
+    moved = [r.doc_id for r in toxicity._words_of(docs, toxicity._marks(known)).collect()]
+    assert set(moved) >= set(range(0, 2000, 10)) and len(moved) == len(set(moved)) <= 210
+    expected = toxicity.induce(docs, known)
+    assert len(expected)
+    for marks in (1, 100):  # however many share a mark, the join decides
+        monkeypatch.setattr(toxicity, "MARKS", marks)
+        assert toxicity._words_of(docs, toxicity._marks(known)).count() > 1000
+        assert (toxicity.induce(docs, known) == expected).all()
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, [*AWKWARD, "you idiot"]).withColumns({"votes": F.lit("x"), "toxic": F.lit(1)})
     labels = spark.createDataFrame([(None, 1), (3, None), (4, 7), (12, 1), (12, 0), (8, 0)], "doc_id bigint, toxic int")
