@@ -814,10 +814,7 @@ def rollout_buffer(spark, sf_dir):
         buffer.push(rows.where(F.col("row_id") % 2 == k))
     buffer.seal()
     buffer.reset_cursor()
-    out = None
-    while (one := buffer.next_minibatch()) is not None:
-        out = one if out is None else out.unionAll(one)
-    return out.select("row_id", "minibatch", "slot")
+    return buffer.rest().select("row_id", "minibatch", "slot")
 
 
 @query

@@ -70,6 +70,11 @@ class RolloutBuffer:
         self.cursor += 1
         return self.planned().where(F.col("minibatch") == self.cursor - 1)
 
+    def rest(self) -> DataFrame:
+        """All minibatches that the pass has left, in order, as one scan: a union of single ones costs the driver a scan each."""
+        begin, self.cursor = self.cursor, self.num_minibatches()
+        return self.planned().where(F.col("minibatch") >= begin).orderBy("minibatch", "slot")
+
     def reset_cursor(self) -> None:
         """A new permutation for the next pass."""
         self.epoch, self.cursor, self._plan = self.epoch + 1, 0, None

@@ -40,6 +40,29 @@ def test_buffer(spark):
     assert not buffer.is_sealed and buffer.total_samples == 0
 
 
+def test_rest_of_a_pass(spark):
+    buffer = rollout.RolloutBuffer(minibatch_size=4, normalize_adv=False)
+    buffer.push(rows(spark, [[float(i)] for i in range(43)]))
+    buffer.seal()
+    each = []
+    while (batch := buffer.next_minibatch()) is not None:
+        each.append([(r.row_id, r.minibatch, r.slot) for r in batch.collect()])
+    assert buffer.rest().count() == 0
+    buffer.cursor = 3
+    rest = buffer.rest()
+    assert [(r.row_id, r.minibatch, r.slot) for r in rest.collect()] == sum(each[3:], []) and len(each) == 11
+    assert buffer.cursor == 11 and buffer.next_minibatch() is None
+
+
+def test_a_pass_is_one_scan(spark, tmp_path):
+    from batchloom import catalog
+
+    spark.range(450).selectExpr("id AS vec_id", "0 AS label", "array(0.5) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = catalog.rollout_buffer(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert [(r.minibatch, r.slot) for r in out.collect()] == [(k // 100, k % 100) for k in range(450)]
+
+
 def test_group_baseline(spark):
     df = spark.createDataFrame([(0, r) for r in (1.0, 0.0, 1.0, 0.0)], "g int, reward double")
     assert [r.advantage for r in rollout.group_baseline(df, "g", "reward").collect()] == [0.5, -0.5, 0.5, -0.5]
