@@ -3,21 +3,26 @@
 Planning and splitting are expressions. The encoder is a small transformer: token
 embeddings with a leading class token and positions, pre-norm attention and feed-forward
 layers with the tanh GELU, a projection of the class token, and a last norm. It
-runs over Arrow batches of patches, its weights broadcast (fixed size).
+runs over slices of Arrow batches, its weights broadcast (fixed size), so that a worker's
+memory depends neither on how many records a batch has nor on how long its patches are squared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.arrays import head, repeat
 
+#: Numbers that the widest array of the encoder has at once, and ids and numbers of vectors in a slice of records; a single place or record may have more.
+MOST_NUMBERS = 1 << 19
+
 
 def patch_size(length: Column, most: int) -> Column:
     """ceil(length / M), 1 at least: no more than M patches."""
@@ -125,8 +130,15 @@ class EncoderWeights:
         return self
 
 
-def encode_patches(patches: np.ndarray, w: EncoderWeights) -> np.ndarray:
-    """(n, dim) vectors of (n, size) patches; ids outside of the vocabulary count as 0."""
+def attend(q: np.ndarray, k: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Attention of (n, heads, size, dim of a head) arrays, with scores for some places at a time where patches are long."""
+    n, heads, size, dim = q.shape
+    step = max(1, MOST_NUMBERS // (n * heads * size))
+    each = [softmax(q[:, :, i : i + step] @ k.transpose(0, 1, 3, 2) / np.sqrt(dim)) @ u for i in range(0, size, step)]
+    return np.concatenate(each, axis=2)
+
+
+def _encode(patches: np.ndarray, w: EncoderWeights) -> np.ndarray:
     v, (n, size) = w.values, patches.shape
     ids = np.where((patches < 0) | (patches >= w.vocab_size), 0, patches)
     x = np.concatenate([np.broadcast_to(v["class"], (n, 1, w.dim)), v["token"][ids]], axis=1)
@@ -134,23 +146,59 @@ def encode_patches(patches: np.ndarray, w: EncoderWeights) -> np.ndarray:
     for i in range(w.layers):
         y = linear(layer_norm(x, v[f"{i}.norm1.gain"], v[f"{i}.norm1.bias"]), v[f"{i}.qkv.weight"], v[f"{i}.qkv.bias"])
         q, k, u = (part.reshape(n, size + 1, w.heads, -1).transpose(0, 2, 1, 3) for part in np.split(y, 3, axis=-1))
-        mixed = softmax(q @ k.transpose(0, 1, 3, 2) / np.sqrt(q.shape[-1])) @ u
+        mixed = attend(q, k, u)
         x = x + linear(mixed.transpose(0, 2, 1, 3).reshape(n, size + 1, w.dim), v[f"{i}.out.weight"], v[f"{i}.out.bias"])
         y = gelu(linear(layer_norm(x, v[f"{i}.norm2.gain"], v[f"{i}.norm2.bias"]), v[f"{i}.up.weight"], v[f"{i}.up.bias"]))
         x = x + linear(y, v[f"{i}.down.weight"], v[f"{i}.down.bias"])
     return layer_norm(linear(x[:, 0], v["proj.weight"], v["proj.bias"]), v["norm.gain"], v["norm.bias"]).astype(np.float32)
 
 
+def encode_patches(patches: np.ndarray, w: EncoderWeights) -> np.ndarray:
+    """(n, dim) vectors of (n, size) patches; ids outside of the vocabulary count as 0."""
+    n, size = patches.shape
+    step = max(1, MOST_NUMBERS // ((size + 1) * max(w.heads * (size + 1), 4 * w.dim)))
+    out = np.empty((n, w.dim), np.float32)
+    for i in range(0, n, step):
+        out[i : i + step] = _encode(patches[i : i + step], w)
+    return out
+
+
+def record_slices(split: pa.Array, dim: int) -> Iterator[pa.Array]:
+    """Runs of records that have MOST_NUMBERS ids and numbers of vectors or so, a record at least."""
+    upto = np.cumsum(split.value_lengths().fill_null(0).to_numpy())  # patches to the end of each record
+    ids = np.append(0, np.cumsum(split.flatten().value_lengths().to_numpy(), dtype=np.int64))
+    run = np.append(0, (ids[upto] + upto.astype(np.int64) * dim)[:-1]) // MOST_NUMBERS
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1), len(split)]
+    for i, j in zip(edges, edges[1:]):
+        if j > i:
+            yield split.slice(i, j - i)
+
+
+def encode_records(split: pa.Array, w: EncoderWeights) -> pa.Array:
+    """For each list of patches the list of their vectors; patches of one size are encoded together."""
+    each = split.flatten()
+    sizes = each.value_lengths().to_numpy().astype(np.int64)
+    ids, begin = each.flatten().fill_null(0).to_numpy(), np.cumsum(sizes) - sizes
+    out = np.empty((len(sizes), w.dim), np.float32)
+    for size in np.unique(sizes):
+        some = np.flatnonzero(sizes == size)
+        out[some] = encode_patches(ids[begin[some, None] + np.arange(size)], w)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * w.dim), pa.array(out.ravel()))
+    upto = np.cumsum(split.value_lengths().fill_null(0).to_numpy(), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), upto)), vectors)
+
+
 def compress(df: DataFrame, ids: str, most: int, weights: EncoderWeights) -> DataFrame:
     """Records (type, ids, patch_size, embed_dim, vectors): short sequences as ids, long ones as a vector for each patch."""
     size = patch_size(F.size(ids), most)
     long = F.size(ids) > most
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+    shared, dim = df.sparkSession.sparkContext.broadcast(weights), weights.dim
 
-    @F.pandas_udf("array<array<float>>")
-    def encode(batch: pd.Series) -> pd.Series:
-        w = shared.value
-        return pd.Series([[x.tolist() for x in encode_patches(np.stack(list(p)).astype(np.int64), w)] if len(p) else [] for p in batch])
+    @F.arrow_udf("array<array<float>>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in record_slices(batch, dim):
+                yield encode_records(part, shared.value)
 
     others = [F.col(f"`{c}`") for c in df.columns if c != ids]
     split = split_patches(F.when(long, F.col(ids)).otherwise(F.array().cast("array<int>")), size)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from batchloom.operators import patches, rollout
 from pyspark.sql import functions as F
@@ -136,3 +138,53 @@ def test_compress(spark):
     expected = patches.encode_patches(np.array([[5] * 3] * 3 + [[6] * 3]), w)
     assert got[2].ids is None and got[2].patch_size == 3 and np.allclose(got[2].vectors, expected)
     assert patches.training_patches(df, "ids", 4).count() == 4
+
+
+def varied_weights():
+    w = patches.EncoderWeights(50, 8, heads=2, layers=2, most_positions=16).initialise()
+    rng = np.random.default_rng(5)
+    w.values = {name: (x + rng.normal(0, 0.3, x.shape)).astype(np.float32) for name, x in w.values.items()}
+    return w
+
+
+@pytest.mark.parametrize("shape", [(1, 2500), (40_000, 5)])
+def test_memory_of_the_encoder(shape):
+    ids = np.random.default_rng(1).integers(0, 50, shape)
+    w = varied_weights()
+    tracemalloc.start()
+    got = patches.encode_patches(ids, w)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (shape[0], 8) and most < 60e6
+
+
+@pytest.mark.parametrize("most", [1, 100, 1 << 19])
+def test_slices_change_no_vector(monkeypatch, most):
+    rng = np.random.default_rng(2)
+    records = [[rng.integers(-3, 55, size).tolist() for _ in range(n)] for n, size in [(0, 0), (4, 3), (1, 70), (0, 0), (5, 3), (2, 9), (0, 0)] * 3]
+    w = varied_weights()
+    expected = [patches.encode_patches(np.array(r), w) if r else np.zeros((0, 8)) for r in records]
+    monkeypatch.setattr(patches, "MOST_NUMBERS", most)
+    split = pa.array([[[1]], *records, [[1]]], pa.list_(pa.list_(pa.int32()))).slice(1, len(records))
+    parts = list(patches.record_slices(split, w.dim))
+    assert sum(map(len, parts)) == len(records) and (len(parts) == 1) == (most > 100)
+    got = [v for p in parts for v in patches.encode_records(p, w).to_pylist()]
+    assert len(got) == len(records) and all(len(g) == len(e) and np.allclose(np.reshape(g, (-1, 8)), e, atol=1e-5) for g, e in zip(got, expected))
+    assert not list(patches.record_slices(split.slice(0, 0), w.dim))
+
+
+def test_compress_in_many_slices(spark):
+    """Records of one batch come back in their order with their own vectors."""
+    w = patches.EncoderWeights(50, 64, heads=2, layers=1, most_positions=16).initialise()
+    df = spark.range(0, 600, numPartitions=1).select(F.col("id").alias("idx"), F.transform(F.sequence(F.lit(1), (F.col("id") % 60 + 1).cast("int")), lambda x: ((F.col("id") * 7 + x) % 50).cast("int")).alias("ids"))
+    got = patches.compress(df, "ids", 20, w).collect()
+    assert [r.idx for r in got] == list(range(600))
+    for r in got:
+        whole = [(r.idx * 7 + x) % 50 for x in range(1, r.idx % 60 + 2)]
+        if len(whole) <= 20:
+            assert r.ids == whole and r.vectors is None
+        else:
+            size = -(-len(whole) // 20)
+            n = -(-len(whole) // size)
+            each = np.array(whole + [0] * (n * size - len(whole))).reshape(n, size)
+            assert r.patch_size == size and np.allclose(r.vectors, patches.encode_patches(each, w), atol=1e-5)
